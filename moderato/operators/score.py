@@ -49,7 +49,8 @@ class ExpressionScorer(Scorer):
         raise NotImplementedError
 
     def score(self, df: DataFrame, text_col: str) -> DataFrame:
-        cols = self.columns(F.col(text_col), tokens(F.col(text_col)))
+        toks = F.col(TOKENS_COL) if TOKENS_COL in df.columns else tokens(F.col(text_col))
+        cols = self.columns(F.col(text_col), toks)
         return df.withColumns({score_col(l): cols[l] for l in LABELS})
 
 
@@ -139,11 +140,13 @@ class ShonaScorer(Scorer):
         return shona_adjust(self.base.columns(text, toks), toks)
 
     def score(self, df: DataFrame, text_col: str) -> DataFrame:
+        toks = F.col(TOKENS_COL) if TOKENS_COL in df.columns else tokens(F.col(text_col))
         if self.is_expression:
-            cols = self.columns(F.col(text_col), tokens(F.col(text_col)))
+            cols = self.columns(F.col(text_col), toks)
             return df.withColumns({score_col(l): cols[l] for l in LABELS})
         scored = self.base.score(df, text_col)
-        adj = shona_adjust({l: F.col(score_col(l)) for l in LABELS}, tokens(F.col(text_col)))
+        toks = F.col(TOKENS_COL) if TOKENS_COL in scored.columns else tokens(F.col(text_col))
+        adj = shona_adjust({l: F.col(score_col(l)) for l in LABELS}, toks)
         return scored.withColumns({score_col(l): adj[l] for l in LABELS})
 
 
@@ -233,8 +236,13 @@ def moderate(df: DataFrame, text_col: str = "text", language: str | Column = "en
     en_scorer = en_scorer or MarkerScorer()
     sn_scorer = sn_scorer or ShonaScorer()
     text = F.col(text_col)
+    # Tokens are computed once per row and referenced by every later
+    # expression (Catalyst keeps a non-cheap column that is used many times
+    # in its own projection instead of inlining it).
+    df = df.withColumn(TOKENS_COL, tokens(text))
+    toks = F.col(TOKENS_COL)
     if isinstance(language, str) and language == "auto":
-        lang = detect_language(toks=tokens(text), default="en")
+        lang = detect_language(toks=toks, default="en")
     elif isinstance(language, str):
         lang = F.lit(language)
     else:
@@ -246,7 +254,6 @@ def moderate(df: DataFrame, text_col: str = "text", language: str | Column = "en
     both_expr = all(isinstance(s, ExpressionScorer) or (isinstance(s, ShonaScorer) and s.is_expression)
                     for s in (en_scorer, sn_scorer))
     if both_expr:
-        toks = tokens(text)
         en_c = en_scorer.columns(text, toks)
         sn_c = sn_scorer.columns(text, toks)
         scored = base.withColumn("model", F.when(is_sn, F.lit(sn_scorer.name)).otherwise(F.lit(en_scorer.name)))
@@ -263,7 +270,7 @@ def moderate(df: DataFrame, text_col: str = "text", language: str | Column = "en
     return (scored.withColumn("flagged_labels", flagged)
             .withColumn("is_toxic", F.size("flagged_labels") > 0)
             .withColumn("thresholds_used", thresholds_map(thr))
-            .drop("_scoreable"))
+            .drop("_scoreable", TOKENS_COL))
 
 
 def score_batch(df: DataFrame, text_col: str, scorer: Scorer, threshold=0.5) -> DataFrame:

@@ -20,8 +20,20 @@ from moderato.functions.lexicon import VALID_CATEGORIES
 from moderato.schema import LABELS, SEED
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Give CPU-heavy text work every core when a scan yields fewer splits
+    than the cluster's parallelism (a small single-row-group file).  At scale
+    a scan has thousands of splits and this adds nothing; with ``key`` the
+    rows are hash-partitioned on it, which later per-key steps can reuse."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), key)
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
