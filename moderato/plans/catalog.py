@@ -48,3 +48,198 @@ def q_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = fx.table(spark, sf_dir, "conversations")
     m = moderate(conv, "text", language="auto")
     return batch_summary(m, ["conv_id"])
+
+
+# ------------------------------------------------------------ text & language
+from moderato.functions.labels import any_positive, category_labels, label_sum, scored_row  # noqa: E402
+from moderato.functions.text import (clean_text, is_scoreable, sigmoid, tokens,  # noqa: E402
+                                     truncate_for_translation)
+from moderato.functions.thresholds import (flagged_labels, normalize_thresholds,  # noqa: E402
+                                           resolve_thresholds)
+from moderato.operators import requests as rq  # noqa: E402
+from moderato.operators import text_ops  # noqa: E402
+from moderato.operators.score import (ConstantScorer, MarkerScorer, PandasScorer,  # noqa: E402
+                                      ShonaScorer, benign_whitelisted, marker_predictor,
+                                      score_batch, shona_adjust, slur_floors)
+
+
+def _docs(spark, sf_dir):
+    return fx.comments(spark, sf_dir)
+
+
+@query("clean_text")
+def q_clean_text(spark, sf_dir):
+    """F1 over every document."""
+    return _docs(spark, sf_dir).select("doc_id", clean_text("text").alias("clean"))
+
+
+@query("tokens")
+def q_tokens(spark, sf_dir):
+    """F2 over every document."""
+    t = tokens("text")
+    return _docs(spark, sf_dir).select("doc_id", F.size(t).alias("n_tokens"),
+                                       F.array_join(t, " ").alias("tokens"))
+
+
+@query("truncate_text")
+def q_truncate_text(spark, sf_dir):
+    """First 400 code points, newlines flattened, stripped."""
+    return _docs(spark, sf_dir).select("doc_id", truncate_for_translation("text").alias("truncated"))
+
+
+@query("scoreable")
+def q_scoreable(spark, sf_dir):
+    """P2 over documents and conversation turns."""
+    d = _docs(spark, sf_dir).select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text")
+    c = fx.table(spark, sf_dir, "conversations").select(
+        F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return d.unionByName(c).select("kind", "id", is_scoreable("text").alias("scoreable"))
+
+
+@query("detect_language")
+def q_detect_language(spark, sf_dir):
+    """F3 + A20 per document."""
+    return text_ops.with_language(_docs(spark, sf_dir)).select("doc_id", "en_score", "sn_score", "language")
+
+
+@query("language_mix")
+def q_language_mix(spark, sf_dir):
+    """Detected language against the given ``lang`` column."""
+    return text_ops.language_mix(_docs(spark, sf_dir), by=["lang"])
+
+
+@query("lexicon_hits")
+def q_lexicon_hits(spark, sf_dir):
+    """Tokens joined to the lexicon table."""
+    return text_ops.lexicon_hits(_docs(spark, sf_dir))
+
+
+@query("lexical_floors")
+def q_lexical_floors(spark, sf_dir):
+    """A19 + F5: per-label max floor over each document's tokens."""
+    d = _docs(spark, sf_dir).withColumn("_t", tokens("text"))
+    fl = slur_floors(F.col("_t"))
+    return d.select("doc_id", *[_r(fl[l]).alias(f"f_{l}") for l in LABELS])
+
+
+@query("benign_cap")
+def q_benign_cap(spark, sf_dir):
+    """F4 / F5 on fixture base scores: whitelist cap, else lexical floors."""
+    d = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    d = fx.spread(d).withColumn("_t", tokens("text"))
+    adj = shona_adjust(fx.fixture_scores(F.col("id")), F.col("_t"))
+    return d.select("id", benign_whitelisted(F.col("_t")).alias("whitelisted"),
+                    *[_r(adj[l]).alias(f"s_{l}") for l in LABELS])
+
+
+@query("sigmoid_flags")
+def q_sigmoid_flags(spark, sf_dir):
+    """sigmoid of a margin, decision at 0.5."""
+    d = _docs(spark, sf_dir)
+    probs = {l: sigmoid((fx.fixture_score(l, F.col("doc_id")) - 0.5) * 8.0) for l in LABELS}
+    flags = flagged_labels(probs, normalize_thresholds(0.5))
+    return d.select("doc_id", *[_r(probs[l]).alias(f"p_{l}") for l in LABELS],
+                    F.array_join(flags, ",").alias("flagged"))
+
+
+# ------------------------------------------------------------ labels & thresholds
+@query("category_labels")
+def q_category_labels(spark, sf_dir):
+    """P4 on every annotated row."""
+    a = fx.annotated(spark, sf_dir)
+    labs = category_labels(F.col("category"), F.col("severity"), F.col("label") == "toxic")
+    return a.select("doc_id", "label", "category", "severity", *[labs[l].alias(l) for l in LABELS])
+
+
+@query("drop_unscored")
+def q_drop_unscored(spark, sf_dir):
+    """Rows with no -1 label."""
+    return fx.comment_table(spark, sf_dir).filter(scored_row()).select("doc_id", *LABELS)
+
+
+@query("positive_counts")
+def q_positive_counts(spark, sf_dir):
+    """P3 on the scored rows: any-positive / no-positive counts, positives per label."""
+    t = fx.comment_table(spark, sf_dir).filter(scored_row())
+    return t.agg(F.count(F.lit(1)).alias("n"),
+                 F.count_if(any_positive()).alias("n_positive"),
+                 F.count_if(label_sum() == 0).alias("n_negative"),
+                 *[F.sum(l).cast("bigint").alias(f"pos_{l}") for l in LABELS])
+
+
+@query("flag_labels")
+def q_flag_labels(spark, sf_dir):
+    """P7 + P10 with the served default thresholds on fixture scores."""
+    d = _docs(spark, sf_dir)
+    sc = fx.fixture_scores(F.col("doc_id"))
+    fl = flagged_labels(sc, resolve_thresholds(), is_scoreable("text"))
+    return d.select("doc_id", F.array_join(fl, ",").alias("flagged"), (F.size(fl) > 0).alias("is_toxic"))
+
+
+@query("flag_uniform")
+def q_flag_uniform(spark, sf_dir):
+    """A uniform 0.5 threshold (evaluations)."""
+    d = _docs(spark, sf_dir)
+    fl = flagged_labels(fx.fixture_scores(F.col("doc_id")), normalize_thresholds(0.5))
+    return d.select("doc_id", F.array_join(fl, ",").alias("flagged"))
+
+
+def request_overrides(id_col):
+    """A per-row override map derived from the id: toxic varies, insult is
+    NULL on every third row, an unknown label is ignored."""
+    return F.create_map(
+        F.lit("toxic"), (F.pmod(id_col, F.lit(10)) / 10.0).cast("double"),
+        F.lit("insult"), F.when(F.pmod(id_col, F.lit(3)) == 0, F.lit(None).cast("double")).otherwise(F.lit(0.45)),
+        F.lit("bogus"), F.lit(0.1))
+
+
+@query("resolve_thresholds")
+def q_resolve_thresholds(spark, sf_dir):
+    """Request map over per-label setting over defaults."""
+    d = _docs(spark, sf_dir)
+    thr = resolve_thresholds(request_overrides(F.col("doc_id")), per_label={"obscene": 0.7})
+    return d.select("doc_id", *[thr[l].alias(f"t_{l}") for l in LABELS])
+
+
+@query("request_reject")
+def q_request_reject(spark, sf_dir):
+    """P5: documents as single requests (language = their lang), conversations
+    as batch requests (one per conv_id)."""
+    single = rq.validate_single(_docs(spark, sf_dir).withColumnRenamed("lang", "language"), "text", "language")
+    single = single.select(F.lit("single").alias("kind"), F.col("doc_id").alias("id"),
+                           F.length("text").cast("bigint").alias("n"), "valid", "reason")
+    batch = rq.validate_batches(fx.table(spark, sf_dir, "conversations"), "conv_id", language="auto")
+    batch = batch.select(F.lit("batch").alias("kind"), F.col("conv_id").alias("id"),
+                         F.col("n_items").alias("n"), "valid", "reason")
+    return single.unionByName(batch)
+
+
+@query("split_lines")
+def q_split_lines(spark, sf_dir):
+    """Each document as a pasted block, one comment per line."""
+    return text_ops.split_lines(_docs(spark, sf_dir))
+
+
+# ------------------------------------------------------------ scoring
+@query("moderate_en")
+def q_moderate_en(spark, sf_dir):
+    """U4: English scoring of every document with the marker scorer."""
+    return moderated_view(moderate(_docs(spark, sf_dir), "text", language="en"), "doc_id")
+
+
+@query("moderate_sn")
+def q_moderate_sn(spark, sf_dir):
+    """Shona scoring with zero base scores: whitelist / floors only."""
+    m = moderate(_docs(spark, sf_dir), "text", language="sn",
+                 sn_scorer=ShonaScorer(ConstantScorer(0.0, name="zero-sn")))
+    return moderated_view(m, "doc_id")
+
+
+@query("score_batch")
+def q_score_batch(spark, sf_dir):
+    """A pandas model over Arrow batches (mapInPandas), uniform 0.5."""
+    scorer = PandasScorer(marker_predictor(), name="pandas-marker", batch_size=16)
+    out = score_batch(_docs(spark, sf_dir).select("doc_id", "text"), "text", scorer, 0.5)
+    return out.select("doc_id", *[F.col(f"score_{l}").alias(f"s_{l}") for l in LABELS],
+                      F.array_join("flagged_labels", ",").alias("flagged"), "is_toxic")

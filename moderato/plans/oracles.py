@@ -10,13 +10,14 @@ ORACLES: dict[str, str] = {}
 
 
 def _moderated_sql(table: str, key: str, text: str = "text", language: str = "auto",
-                   thr: dict | None = None) -> str:
+                   thr: dict | None = None, sn_base: str = "marker", sn_name: str = "marker-sn") -> str:
     """Per-row moderation of ``table`` with the marker scorers."""
     thr = thr or {l: DEFAULT_THRESHOLDS[l] for l in LABELS}
     toks = "toks"
     lang = S.decide(S.en_evidence(toks), S.sn_evidence(toks)) if language == "auto" else S.q(language)
     en = {l: S.marker_score(l, "low", lx.EN_MARKERS) for l in LABELS}
-    sn = {l: S.shona_adjust(S.marker_score(l, "low", lx.SN_MARKERS), l, toks) for l in LABELS}
+    base = {l: (S.marker_score(l, "low", lx.SN_MARKERS) if sn_base == "marker" else S.d(0.0)) for l in LABELS}
+    sn = {l: S.shona_adjust(base[l], l, toks) for l in LABELS}
     score_sel = ",\n      ".join(
         f"CASE WHEN NOT scoreable THEN {S.d(0.0)} WHEN language = 'sn' THEN {sn[l]} ELSE {en[l]} END AS s_{l}"
         for l in LABELS)
@@ -29,7 +30,7 @@ WITH base AS (
 lang AS (SELECT *, {lang} AS language FROM base),
 sc AS (
   SELECT {key}, language, scoreable,
-      CASE WHEN language = 'sn' THEN 'marker-sn' ELSE 'marker-en' END AS model,
+      CASE WHEN language = 'sn' THEN '{sn_name}' ELSE 'marker-en' END AS model,
       {score_sel}
   FROM lang),
 fl AS (SELECT *, {flag_list} AS fl_list FROM sc)
@@ -44,3 +45,131 @@ FROM fl"""
 ORACLES["batch_summary"] = _moderated_sql("conversations", "conv_id") + """
 SELECT conv_id, count(*) AS total, CAST(count(*) FILTER (WHERE len(fl_list) > 0) AS BIGINT) AS flagged_count
 FROM fl GROUP BY conv_id"""
+
+
+def _fx_scores(id_expr="doc_id", prefix="s_"):
+    return S.fixture_scores_cols(id_expr, prefix)
+
+
+ORACLES["clean_text"] = f"SELECT doc_id, {S.clean_text('text')} AS clean FROM documents"
+
+ORACLES["tokens"] = f"""SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)"""
+
+_TRUNC = "replace(substr(coalesce(text, ''), 1, 400), chr(10), ' ')"
+ORACLES["truncate_text"] = f"SELECT doc_id, {S.strip(_TRUNC)} AS truncated FROM documents"
+
+ORACLES["scoreable"] = f"""
+SELECT 'doc' AS kind, doc_id AS id, {S.scoreable('text')} AS scoreable FROM documents
+UNION ALL
+SELECT 'turn' AS kind, conv_id * 1000 + turn AS id, {S.scoreable('text')} AS scoreable FROM conversations"""
+
+_LANG_BASE = f"""
+WITH t AS (SELECT doc_id, lang, {S.tokens('text')} AS toks FROM documents),
+ev AS (SELECT doc_id, lang, {S.en_evidence('toks')} AS en_score, {S.sn_evidence('toks')} AS sn_score FROM t),
+dl AS (SELECT *, {S.decide('en_score', 'sn_score')} AS language FROM ev)"""
+
+ORACLES["detect_language"] = _LANG_BASE + "\nSELECT doc_id, en_score, sn_score, language FROM dl"
+ORACLES["language_mix"] = _LANG_BASE + "\nSELECT lang, language, count(*) AS n FROM dl GROUP BY lang, language"
+
+_LEX_ROWS = ", ".join(f"({S.q(t)}, {S.q(k)})" for t, k in dict.fromkeys(
+    [(w, "en_word") for w in lx.EN_WORDS] + [(w, "sn_word") for w in lx.SN_WORDS]
+    + [(w, "benign") for w in lx.BENIGN_TOKENS] + [(w, "known_toxic") for w in lx.KNOWN_TOXIC_TOKENS]
+    + [(w, "floor") for w in lx.SLUR_FLOORS]))
+ORACLES["lexicon_hits"] = f"""
+WITH lex(term, kind) AS (VALUES {_LEX_ROWS}),
+t AS (SELECT doc_id, unnest({S.tokens('text')}) AS term FROM documents)
+SELECT kind, t.term AS term, count(*) AS hits, count(DISTINCT doc_id) AS docs
+FROM t JOIN lex ON t.term = lex.term GROUP BY kind, t.term"""
+
+ORACLES["lexical_floors"] = f"""
+SELECT doc_id, {', '.join(f'round({S.floor(l, "toks")}, 6) AS f_{l}' for l in LABELS)}
+FROM (SELECT doc_id, {S.tokens('text')} AS toks FROM documents)"""
+
+ORACLES["benign_cap"] = f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS id, {S.tokens('text')} AS toks FROM conversations)
+SELECT id, {S.whitelisted('toks')} AS whitelisted,
+       {', '.join(f'round({S.shona_adjust(S.fixture_score(l, "id"), l, "toks")}, 6) AS s_{l}' for l in LABELS)}
+FROM t"""
+
+_sig = {l: f"(1.0 / (1.0 + exp(-(({S.fixture_score(l, 'doc_id')}) - 0.5) * 8.0)))" for l in LABELS}
+ORACLES["sigmoid_flags"] = f"""
+SELECT doc_id, {', '.join(f'round({_sig[l]}, 6) AS p_{l}' for l in LABELS)},
+       array_to_string({S.flagged(_sig, {l: 0.5 for l in LABELS})}, ',') AS flagged
+FROM documents"""
+
+_cl = S.category_labels_sql("category", "severity", "label = 'toxic'")
+ORACLES["category_labels"] = f"""
+SELECT doc_id, label, category, severity, {', '.join(f'{_cl[l]} AS {l}' for l in LABELS)}
+FROM {S.ANNOTATED}"""
+
+_scored_cond = " AND ".join(f"coalesce({l} <> -1, TRUE)" for l in LABELS)
+ORACLES["drop_unscored"] = f"SELECT doc_id, {', '.join(LABELS)} FROM {S.comment_table()} WHERE {_scored_cond}"
+
+_lsum = " + ".join(f"coalesce({l}, 0)" for l in LABELS)
+ORACLES["positive_counts"] = f"""
+SELECT count(*) AS n, count(*) FILTER (WHERE {_lsum} > 0) AS n_positive,
+       count(*) FILTER (WHERE {_lsum} = 0) AS n_negative,
+       {', '.join(f'CAST(sum({l}) AS BIGINT) AS pos_{l}' for l in LABELS)}
+FROM {S.comment_table()} WHERE {_scored_cond}"""
+
+_fx = {l: S.fixture_score(l, "doc_id") for l in LABELS}
+_fl = S.flagged(_fx, {l: DEFAULT_THRESHOLDS[l] for l in LABELS}, S.scoreable("text"))
+ORACLES["flag_labels"] = f"""
+SELECT doc_id, array_to_string(fl, ',') AS flagged, len(fl) > 0 AS is_toxic
+FROM (SELECT doc_id, {_fl} AS fl FROM documents)"""
+
+ORACLES["flag_uniform"] = f"""
+SELECT doc_id, array_to_string({S.flagged(_fx, {l: 0.5 for l in LABELS})}, ',') AS flagged FROM documents"""
+
+
+def _thr_sql(l):
+    chain = []
+    if l == "toxic":
+        chain.append("CAST((doc_id % 10) / 10.0 AS DOUBLE)")
+    if l == "insult":
+        chain.append("CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(0.45 AS DOUBLE) END")
+    if l == "obscene":
+        chain.append(S.d(0.7))
+    chain.append(S.d(DEFAULT_THRESHOLDS[l]))
+    return f"coalesce({', '.join(chain)})"
+
+
+ORACLES["resolve_thresholds"] = f"SELECT doc_id, {', '.join(f'{_thr_sql(l)} AS t_{l}' for l in LABELS)} FROM documents"
+
+ORACLES["request_reject"] = """
+SELECT 'single' AS kind, doc_id AS id, CAST(length(text) AS BIGINT) AS n,
+       reason IS NULL AS valid, reason
+FROM (SELECT doc_id, text,
+        CASE WHEN text IS NULL THEN 'missing_text' WHEN length(text) < 1 THEN 'empty_text'
+             WHEN length(text) > 5000 THEN 'text_too_long'
+             WHEN NOT coalesce(lang IN ('en', 'sn', 'auto'), FALSE) THEN 'bad_language' END AS reason
+      FROM documents)
+UNION ALL
+SELECT 'batch' AS kind, conv_id AS id, n, reason IS NULL AS valid, reason
+FROM (SELECT conv_id, count(*) AS n,
+        CASE WHEN count(*) < 1 THEN 'empty_batch' WHEN count(*) > 100 THEN 'batch_too_large' END AS reason
+      FROM conversations GROUP BY conv_id)"""
+
+ORACLES["split_lines"] = f"""
+WITH b AS (
+  SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {S.strip('x')}),
+                             lambda x: length(x) > 0) AS lines FROM documents)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, lines[i] AS line, len(lines) AS n_lines,
+       len(lines) BETWEEN 1 AND 100 AS accepted
+FROM b, LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)"""
+
+
+_MOD_SELECT = f"""
+SELECT doc_id, language, model, {', '.join(f's_{l}' for l in LABELS)},
+       array_to_string(fl_list, ',') AS flagged, len(fl_list) > 0 AS is_toxic
+FROM fl"""
+ORACLES["moderate_en"] = _moderated_sql("documents", "doc_id", language="en") + _MOD_SELECT
+ORACLES["moderate_sn"] = _moderated_sql("documents", "doc_id", language="sn", sn_base="zero",
+                                        sn_name="zero-sn") + _MOD_SELECT
+_u = {l: 0.5 for l in LABELS}
+ORACLES["score_batch"] = f"""
+WITH b AS (SELECT doc_id, lower(coalesce(text, '')) AS low, {S.scoreable('text')} AS ok FROM documents),
+s AS (SELECT doc_id, ok, {', '.join(f'CASE WHEN ok THEN {S.marker_score(l, "low", lx.EN_MARKERS)} ELSE {S.d(0.0)} END AS s_{l}' for l in LABELS)} FROM b),
+f AS (SELECT *, {S.flagged({l: f's_{l}' for l in LABELS}, _u, 'ok')} AS fl FROM s)
+SELECT doc_id, {', '.join(f's_{l}' for l in LABELS)}, array_to_string(fl, ',') AS flagged, len(fl) > 0 AS is_toxic FROM f"""

@@ -28,14 +28,14 @@ def scoreable(expr: str) -> str:
 
 
 def en_evidence(toks: str) -> str:
-    return f"2.0 * len(list_filter({toks}, lambda t: t IN {in_list(lx.EN_WORDS)}))"
+    return f"CAST(2.0 AS DOUBLE) * len(list_filter({toks}, lambda t: t IN {in_list(lx.EN_WORDS)}))"
 
 
 def sn_evidence(toks: str) -> str:
     sn = in_list(lx.SN_WORDS)
-    return (f"(3.0 * len(list_filter({toks}, lambda t: t IN {sn}))"
-            f" + 1.0 * len(list_filter({toks}, lambda t: t NOT IN {sn} AND regexp_matches(t, {q(lx.SN_PREFIX_PATTERN)})))"
-            f" + 0.5 * len(list_filter({toks}, lambda t: regexp_matches(t, {q(CLUSTER_PATTERN)}))))")
+    return (f"(CAST(3.0 AS DOUBLE) * len(list_filter({toks}, lambda t: t IN {sn}))"
+            f" + CAST(1.0 AS DOUBLE) * len(list_filter({toks}, lambda t: t NOT IN {sn} AND regexp_matches(t, {q(lx.SN_PREFIX_PATTERN)})))"
+            f" + CAST(0.5 AS DOUBLE) * len(list_filter({toks}, lambda t: regexp_matches(t, {q(CLUSTER_PATTERN)}))))")
 
 
 def decide(en: str, sn: str, default: str = "'en'") -> str:
@@ -100,7 +100,7 @@ def order_key(id_expr: str, seed: int = 42) -> str:
 
 
 ANNOTATED = f"""(
-  SELECT d.doc_id, d.text, d.lang, d.source,
+  SELECT d.doc_id, d.text, d.lang, d.source, l.quality,
          CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'non-toxic' END AS label,
          {category_of('d.doc_id')} AS category,
          CAST(CASE WHEN l.toxic = 1 THEN d.doc_id % 5 ELSE 0 END AS INTEGER) AS severity
@@ -118,3 +118,30 @@ def category_labels_sql(cat: str, sev: str, is_toxic: str) -> dict:
             cond = f"({cond} OR (coalesce({sev} = 4, FALSE) AND coalesce({cat} IN {in_list(extra)}, FALSE)))"
         out[lab] = f"CAST(CASE WHEN coalesce({is_toxic}, FALSE) AND {cond} THEN 1 ELSE 0 END AS INTEGER)"
     return out
+
+
+WS = r"\t\n\x0b\f\r\x{85}\pZ"
+
+
+def strip(expr: str) -> str:
+    return f"regexp_replace({expr}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+def clean_text(expr: str) -> str:
+    t = f"replace(replace(lower(coalesce({expr}, '')), chr(10), ' '), chr(9), ' ')"
+    t = f"regexp_replace({t}, {q(r'https?://\S+|www\.\S+')}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(r'\b(?:\d{1,3}\.){3}\d{1,3}\b')}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(r"[^a-z\s']")}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(r'\s+')}, ' ', 'g')"
+    return f"trim({t})"
+
+
+def comment_table() -> str:
+    """D1 view: P4 labels, -1 on quality-0 rows."""
+    labs = category_labels_sql("category", "severity", "label = 'toxic'")
+    cols = ", ".join(f"CASE WHEN quality = 0 THEN -1 ELSE {labs[l]} END AS {l}" for l in LABELS)
+    return f"(SELECT doc_id, text AS comment_text, {cols} FROM {ANNOTATED})"
+
+
+def fixture_scores_cols(id_expr: str, prefix: str = "s_") -> str:
+    return ", ".join(f"{fixture_score(l, id_expr)} AS {prefix}{l}" for l in LABELS)

@@ -51,11 +51,11 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents x labels is a key-to-key join on ``doc_id``; Catalyst picks a
     sort-merge join (labels is not broadcast: it grows with the data)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    labs = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labs = table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
     j = docs.join(labs, "doc_id")
     tox = F.col("toxic") == 1
     return j.select(
-        "doc_id", "text", "lang", "source",
+        "doc_id", "text", "lang", "source", "quality",
         F.when(tox, F.lit("toxic")).otherwise(F.lit("non-toxic")).alias("label"),
         category_of(F.col("doc_id")).alias("category"),
         F.when(tox, F.pmod(F.col("doc_id"), F.lit(5))).otherwise(F.lit(0)).cast("int").alias("severity"),
@@ -74,3 +74,15 @@ def fixture_scores(id_col: Column) -> dict[str, Column]:
 def order_key(id_col: Column, seed: int = SEED) -> Column:
     """Seeded random order key: md5('<seed>:' || id)."""
     return F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string")))
+
+
+def comment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1-shaped rows ``(doc_id, comment_text, <6 labels>)``: labels mapped
+    from the annotation (P4); rows of quality 0 carry the -1 sentinel
+    ("excluded from scoring")."""
+    from moderato.functions.labels import category_labels
+    a = annotated(spark, sf_dir)
+    labs = category_labels(F.col("category"), F.col("severity"), F.col("label") == "toxic")
+    excluded = F.col("quality") == 0
+    return a.select("doc_id", F.col("text").alias("comment_text"),
+                    *[F.when(excluded, F.lit(-1)).otherwise(labs[l]).alias(l) for l in LABELS])
