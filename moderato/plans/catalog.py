@@ -243,3 +243,152 @@ def q_score_batch(spark, sf_dir):
     out = score_batch(_docs(spark, sf_dir).select("doc_id", "text"), "text", scorer, 0.5)
     return out.select("doc_id", *[F.col(f"score_{l}").alias(f"s_{l}") for l in LABELS],
                       F.array_join("flagged_labels", ",").alias("flagged"), "is_toxic")
+
+
+# ------------------------------------------------------------ validation & sources
+from moderato.operators import sampling as smp  # noqa: E402
+from moderato.operators import validate as val  # noqa: E402
+from moderato.plans import dataset as ds  # noqa: E402
+from moderato.session import scratch_path  # noqa: E402
+from moderato.sources import csv as src  # noqa: E402
+
+
+def _validation_input(spark, sf_dir):
+    return fx.annotated(spark, sf_dir).select(
+        "doc_id", "text", "label", "category", "severity", F.col("source").alias("source_lemma"))
+
+
+@query("validate_rows")
+def q_validate_rows(spark, sf_dir):
+    """A3-A7 in one wide aggregate plus duplicate and offending-value groups."""
+    return val.validate_rows(_validation_input(spark, sf_dir), order_col="doc_id")
+
+
+@query("validate_verdict")
+def q_validate_verdict(spark, sf_dir):
+    """A8 over the checks."""
+    return val.validate_verdict(val.validate_rows(_validation_input(spark, sf_dir), order_col="doc_id"))
+
+
+@query("duplicate_text")
+def q_duplicate_text(spark, sf_dir):
+    """A7 over every document."""
+    return val.duplicate_text(_docs(spark, sf_dir), "text", order_col="doc_id")
+
+
+@query("category_counts")
+def q_category_counts(spark, sf_dir):
+    """A2: category and label breakdowns."""
+    return val.value_counts(fx.annotated(spark, sf_dir), ("category", "label"))
+
+
+@query("scan_comments")
+def q_scan_comments(spark, sf_dir):
+    """S1 + S6: the comment table written as CSV to the shared scratch folder
+    and scanned back with a declared schema (NULL text -> '')."""
+    from moderato.schema import COMMENT_ROW
+    path = scratch_path(spark, "scan_comments")
+    t = fx.comment_table(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "comment_text", *LABELS)
+    (t.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    back = src.scan_comments(spark, path, "csv", COMMENT_ROW)
+    return back.select(F.col("id").cast("bigint").alias("doc_id"), "comment_text", *LABELS)
+
+
+@query("native_rows")
+def q_native_rows(spark, sf_dir):
+    """Annotated rows as training rows."""
+    n = src.native_rows(fx.annotated(spark, sf_dir))
+    return n.select("doc_id", *ds.TRAINING_COLS)
+
+
+def _custom_input(spark, sf_dir):
+    a = fx.annotated(spark, sf_dir)
+    return a.withColumn("_file", F.concat(F.lit("/data/native/"), F.col("source"), F.lit(".csv")))
+
+
+@query("custom_sources")
+def q_custom_sources(spark, sf_dir):
+    """S3 per-file rules; each ``source`` value plays one custom CSV file."""
+    return src.custom_rows(_custom_input(spark, sf_dir)).select("doc_id", *LABELS, "source")
+
+
+# ------------------------------------------------------------ sampling & splits
+@query("shuffled")
+def q_shuffled(spark, sf_dir):
+    """Every document's position in the seeded order."""
+    return smp.shuffled(_docs(spark, sf_dir).select("doc_id"), "doc_id")
+
+
+@query("sample_n")
+def q_sample_n(spark, sf_dir):
+    """500 rows (the reference's default benchmark sample) of the scored rows."""
+    t = fx.comment_table(spark, sf_dir).filter(scored_row())
+    return smp.sample_n(t.select("doc_id", *LABELS), 500, "doc_id")
+
+
+@query("stratified_sample")
+def q_stratified_sample(spark, sf_dir):
+    """M1 with the reference's default train target (3000) on scored rows."""
+    t = fx.comment_table(spark, sf_dir).filter(scored_row()).select("doc_id", *LABELS)
+    return smp.stratified_sample(t, 3000, "doc_id")
+
+
+@query("split_assign")
+def q_split_assign(spark, sf_dir):
+    """M2: exact 80/10/10 split of the annotated rows."""
+    return smp.split_assign(fx.annotated(spark, sf_dir).select("doc_id"), "doc_id")
+
+
+@query("cv_folds")
+def q_cv_folds(spark, sf_dir):
+    """Stratified 3 folds per label of the scored rows."""
+    t = fx.comment_table(spark, sf_dir).filter(scored_row()).select("doc_id", *LABELS)
+    return smp.cv_folds(t, "doc_id")
+
+
+def _silver(spark, sf_dir, target=500):
+    t = fx.comment_table(spark, sf_dir)
+    return ds.silver_split(t, target, "doc_id", drop_unscored=True)
+
+
+@query("silver_split")
+def q_silver_split(spark, sf_dir):
+    """M3 (test mode): P1 -> M1 -> P6 -> identity translator in batches of 16."""
+    return _silver(spark, sf_dir).select("doc_id", *ds.TRAINING_COLS)
+
+
+def merged(spark, sf_dir):
+    """All four sources, each split 80/10/10 (custom files pooled first)."""
+    silver = ds.with_split(_silver(spark, sf_dir), "doc_id").withColumn(
+        "key", F.concat(F.lit("silver:"), F.col("doc_id").cast("string")))
+    native = ds.with_split(src.native_rows(fx.annotated(spark, sf_dir)), "doc_id").withColumn(
+        "key", F.concat(F.lit("native:"), F.col("doc_id").cast("string")))
+    conv = fx.table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    clean = ds.with_split(ds.clean_rows(conv), "id").withColumn(
+        "key", F.concat(F.lit("clean:"), F.col("id").cast("string")))
+    custom = ds.with_split(src.custom_rows(_custom_input(spark, sf_dir)), "doc_id").withColumn(
+        "key", F.concat(F.lit("custom:"), F.col("doc_id").cast("string")))
+    return ds.merge_sources([silver, native, clean, custom], keep=["split", "key"])
+
+
+@query("merge_sources")
+def q_merge_sources(spark, sf_dir):
+    """Silver + native + clean + custom, per split, no dedup."""
+    return merged(spark, sf_dir)
+
+
+@query("native_test")
+def q_native_test(spark, sf_dir):
+    """Native + clean + custom test rows, kept apart from the silver test."""
+    m = merged(spark, sf_dir)
+    return m.filter((F.col("split") == "test") & (F.col("source") != "mt_silver"))
+
+
+@query("source_counts")
+def q_source_counts(spark, sf_dir):
+    """A1: rows and positives per (split, source) with rollup totals."""
+    m = merged(spark, sf_dir)
+    return m.rollup("split", "source").agg(F.count(F.lit(1)).alias("n"),
+                                           *[F.sum(l).cast("bigint").alias(l) for l in LABELS])

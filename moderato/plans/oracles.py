@@ -173,3 +173,147 @@ WITH b AS (SELECT doc_id, lower(coalesce(text, '')) AS low, {S.scoreable('text')
 s AS (SELECT doc_id, ok, {', '.join(f'CASE WHEN ok THEN {S.marker_score(l, "low", lx.EN_MARKERS)} ELSE {S.d(0.0)} END AS s_{l}' for l in LABELS)} FROM b),
 f AS (SELECT *, {S.flagged({l: f's_{l}' for l in LABELS}, _u, 'ok')} AS fl FROM s)
 SELECT doc_id, {', '.join(f's_{l}' for l in LABELS)}, array_to_string(fl, ',') AS flagged, len(fl) > 0 AS is_toxic FROM f"""
+
+
+# ------------------------------------------------------------ validation & sources
+_VAL_IN = f"(SELECT doc_id, text, label, category, severity, source AS source_lemma FROM {S.ANNOTATED})"
+_SEVN = ("CASE WHEN isnan(TRY_CAST(CAST(severity AS VARCHAR) AS DOUBLE)) OR isinf(TRY_CAST(CAST(severity AS VARCHAR) AS DOUBLE))"
+         " THEN NULL ELSE TRY_CAST(CAST(severity AS VARCHAR) AS DOUBLE) END")
+_CHECKS = [("rows", "info", "count(*)")]
+_CHECKS += [(f"null:{c}", "error", f"count(*) FILTER (WHERE {c} IS NULL)")
+            for c in ("text", "label", "category", "severity", "source_lemma")]
+_CHECKS += [
+    ("invalid_label", "error", "count(*) FILTER (WHERE NOT coalesce(label IN ('toxic', 'non-toxic'), FALSE))"),
+    ("invalid_category", "error", f"count(*) FILTER (WHERE NOT coalesce(category IN {S.in_list(lx.VALID_CATEGORIES)}, FALSE))"),
+    ("severity_non_integer", "error", "count(*) FILTER (WHERE sevn IS NULL)"),
+    ("severity_out_of_range", "error", "count(*) FILTER (WHERE CAST(trunc(sevn) AS INTEGER) < 0 OR CAST(trunc(sevn) AS INTEGER) > 4)"),
+    ("nontoxic_with_severity", "warning", "count(*) FILTER (WHERE label = 'non-toxic' AND sevn > 0)"),
+    ("toxic_severity_zero", "warning", "count(*) FILTER (WHERE label = 'toxic' AND sevn = 0)"),
+]
+
+
+def _validate_sql(src_sql: str) -> str:
+    wide = ", ".join(f'CAST({e} AS BIGINT) AS "{n}"' for n, _, e in _CHECKS)
+    longs = " UNION ALL ".join(
+        f"SELECT '{n}' AS rule, '{lv}' AS level, \"{n}\" AS n, \"severity_non_integer\" AS nonint FROM w"
+        for n, lv, _ in _CHECKS)
+    bad_vals = " UNION ALL ".join(
+        f"SELECT '{name}_value' AS rule, 'error' AS level, count(*) AS n, CAST({c} AS VARCHAR) AS value "
+        f"FROM a WHERE NOT coalesce({c} IN {vals}, FALSE) GROUP BY CAST({c} AS VARCHAR)"
+        for name, c, vals in (("invalid_label", "label", "('toxic', 'non-toxic')"),
+                              ("invalid_category", "category", S.in_list(lx.VALID_CATEGORIES))))
+    return f"""
+WITH a AS (SELECT *, {_SEVN} AS sevn FROM {src_sql}),
+w AS (SELECT {wide} FROM a),
+l AS ({longs}),
+g AS (SELECT text, count(*) AS c, min(doc_id) AS o FROM a GROUP BY text HAVING count(*) > 1)
+SELECT rule, level, n, CAST(NULL AS VARCHAR) AS value FROM l
+WHERE rule = 'rows' OR (n > 0 AND (rule <> 'severity_out_of_range' OR nonint = 0))
+UNION ALL
+SELECT 'duplicate_text', 'warning', CAST(sum(c) AS BIGINT), substr(arg_min(text, o), 1, 40) FROM g HAVING sum(c) > 0
+UNION ALL {bad_vals}"""
+
+
+ORACLES["validate_rows"] = _validate_sql(_VAL_IN)
+ORACLES["validate_verdict"] = f"""
+SELECT CAST(coalesce(max(CASE WHEN rule = 'rows' THEN n END), 0) AS BIGINT) AS rows,
+       count(*) FILTER (WHERE level = 'error' AND NOT suffix(rule, '_value')) AS n_errors,
+       count(*) FILTER (WHERE level = 'warning') AS n_warnings,
+       NOT coalesce(bool_or(level = 'error' OR (rule = 'rows' AND n = 0)), FALSE) AS passed
+FROM ({ORACLES['validate_rows']})"""
+
+ORACLES["duplicate_text"] = """
+WITH g AS (SELECT text, count(*) AS c, min(doc_id) AS o FROM documents GROUP BY text HAVING count(*) > 1)
+SELECT 'duplicate_text' AS rule, 'warning' AS level, CAST(sum(c) AS BIGINT) AS n,
+       substr(arg_min(text, o), 1, 40) AS value FROM g HAVING sum(c) > 0"""
+
+ORACLES["category_counts"] = f"""
+SELECT 'category' AS field, category AS value, count(*) AS n FROM {S.ANNOTATED} GROUP BY category
+UNION ALL
+SELECT 'label' AS field, label AS value, count(*) AS n FROM {S.ANNOTATED} GROUP BY label"""
+
+ORACLES["scan_comments"] = f"SELECT doc_id, coalesce(comment_text, '') AS comment_text, {', '.join(LABELS)} FROM {S.comment_table()}"
+
+_NL = S.category_labels_sql("category", "severity", "label = 'toxic'")
+_NATIVE = f"""(SELECT doc_id, '' AS comment_text_en, text AS comment_text_sn,
+    {', '.join(f'{_NL[l]} AS {l}' for l in LABELS)}, 'native_lexicon' AS source FROM {S.ANNOTATED})"""
+ORACLES["native_rows"] = f"SELECT * FROM {_NATIVE}"
+_CUSTOM = f"""(SELECT doc_id, '' AS comment_text_en, text AS comment_text_sn,
+    {', '.join(f'{_NL[l]} AS {l}' for l in LABELS)}, 'custom_' || source AS source FROM {S.ANNOTATED})"""
+ORACLES["custom_sources"] = f"SELECT doc_id, {', '.join(LABELS)}, source FROM {_CUSTOM}"
+
+# ------------------------------------------------------------ sampling & splits
+_KEY = "md5('42:' || CAST({id} AS VARCHAR))"
+_SCORED = f"(SELECT doc_id, {', '.join(LABELS)} FROM {S.comment_table()} WHERE {_scored_cond})"
+
+ORACLES["shuffled"] = f"SELECT doc_id, row_number() OVER (ORDER BY {_KEY.format(id='doc_id')}, doc_id) AS pos FROM documents"
+ORACLES["sample_n"] = f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {_KEY.format(id='doc_id')}, doc_id) AS pos
+FROM {_SCORED}) WHERE pos <= 500"""
+
+
+def _strat_sql(src_sql: str, target: int, id_col: str = "doc_id") -> str:
+    """M1 as chained CTEs: three capped rare passes, a fill pass, negatives."""
+    budget, cap = target // 2, max((target // 2) // 3, 1)
+    k = _KEY.format(id=id_col)
+    lsum = " + ".join(f"coalesce({l}, 0)" for l in LABELS)
+
+    def take(where, n):
+        return (f"SELECT {id_col} FROM (SELECT {id_col}, row_number() OVER (ORDER BY {k}, {id_col}) AS rn "
+                f"FROM sb WHERE {where}) WHERE rn <= {n}")
+    return f"""
+sb AS (SELECT * FROM {src_sql}),
+p1 AS ({take('threat = 1', cap)}),
+p2 AS ({take(f'severe_toxic = 1 AND {id_col} NOT IN (SELECT {id_col} FROM p1)', cap)}),
+p3 AS ({take(f'identity_hate = 1 AND {id_col} NOT IN (SELECT {id_col} FROM p1 UNION ALL SELECT {id_col} FROM p2)', cap)}),
+rare AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3),
+fill AS ({take(f'({lsum}) > 0 AND {id_col} NOT IN (SELECT {id_col} FROM rare)', f'greatest({budget} - (SELECT count(*) FROM rare), 0)')}),
+picked AS (SELECT * FROM rare UNION ALL SELECT * FROM fill),
+neg AS ({take(f'({lsum}) = 0 AND {id_col} NOT IN (SELECT {id_col} FROM picked)', '(SELECT count(*) FROM picked)')}),
+chosen AS (SELECT * FROM picked UNION ALL SELECT * FROM neg),
+strat AS (SELECT * FROM (SELECT sb.*, row_number() OVER (ORDER BY {k}, sb.{id_col}) AS pos
+          FROM sb WHERE {id_col} IN (SELECT {id_col} FROM chosen)) WHERE pos <= {target})"""
+
+
+ORACLES["stratified_sample"] = "WITH " + _strat_sql(_SCORED, 3000) + "\nSELECT * FROM strat"
+
+
+def _split_sql(part_sql: str, id_col: str) -> str:
+    k = _KEY.format(id=id_col)
+    return f"""(SELECT p.*, CASE WHEN pos <= n_train THEN 'train' WHEN pos <= n_train + n_val THEN 'validation'
+            ELSE 'test' END AS split
+  FROM (SELECT *, row_number() OVER (ORDER BY {k}, {id_col}) AS pos FROM {part_sql}) p,
+       (SELECT n_train, CAST(round_even(0.5 * (n - n_train), 0) AS BIGINT) AS n_val
+        FROM (SELECT count(*) AS n, CAST(round_even(0.8 * count(*), 0) AS BIGINT) AS n_train FROM {part_sql})) s)"""
+
+
+ORACLES["split_assign"] = f"SELECT doc_id, pos, split FROM {_split_sql(f'(SELECT doc_id FROM {S.ANNOTATED})', 'doc_id')}"
+
+_CV_LONG = " UNION ALL ".join(f"SELECT doc_id, '{l}' AS label, {l} AS y FROM {_SCORED}" for l in LABELS)
+ORACLES["cv_folds"] = f"""
+SELECT doc_id, label, y, CAST((row_number() OVER (PARTITION BY label, y ORDER BY {_KEY.format(id='doc_id')}, doc_id) - 1) % 3 AS INTEGER) AS fold
+FROM ({_CV_LONG})"""
+
+_SILVER_SRC = f"(SELECT * FROM {S.comment_table()} WHERE {_scored_cond})"
+_TR = S.strip("replace(substr(coalesce(comment_text, ''), 1, 400), chr(10), ' ')")
+_SILVER = "WITH " + _strat_sql(_SILVER_SRC, 500) + f""",
+silver AS (SELECT doc_id, {_TR} AS comment_text_en, {_TR} AS comment_text_sn, {', '.join(LABELS)},
+           'mt_silver' AS source FROM strat)"""
+ORACLES["silver_split"] = _SILVER + "\nSELECT * FROM silver"
+
+_TRAIN_COLS = f"comment_text_en, comment_text_sn, {', '.join(LABELS)}, source"
+_CLEAN = f"""(SELECT conv_id * 1000 + turn AS id, '' AS comment_text_en, text AS comment_text_sn,
+   {', '.join(f'0 AS {l}' for l in LABELS)}, 'native_conversational_clean' AS source FROM conversations)"""
+_MERGED = _SILVER + f""",
+merged AS (
+  SELECT split, 'silver:' || CAST(doc_id AS VARCHAR) AS key, {_TRAIN_COLS} FROM {_split_sql('silver', 'doc_id')}
+  UNION ALL
+  SELECT split, 'native:' || CAST(doc_id AS VARCHAR) AS key, {_TRAIN_COLS} FROM {_split_sql(_NATIVE, 'doc_id')}
+  UNION ALL
+  SELECT split, 'clean:' || CAST(id AS VARCHAR) AS key, {_TRAIN_COLS} FROM {_split_sql(_CLEAN, 'id')}
+  UNION ALL
+  SELECT split, 'custom:' || CAST(doc_id AS VARCHAR) AS key, {_TRAIN_COLS} FROM {_split_sql(_CUSTOM, 'doc_id')})"""
+ORACLES["merge_sources"] = _MERGED + "\nSELECT * FROM merged"
+ORACLES["native_test"] = _MERGED + "\nSELECT * FROM merged WHERE split = 'test' AND source <> 'mt_silver'"
+ORACLES["source_counts"] = _MERGED + f"""
+SELECT split, source, count(*) AS n, {', '.join(f'CAST(sum({l}) AS BIGINT) AS {l}' for l in LABELS)}
+FROM merged GROUP BY ROLLUP (split, source)"""
