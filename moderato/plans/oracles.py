@@ -317,3 +317,143 @@ ORACLES["native_test"] = _MERGED + "\nSELECT * FROM merged WHERE split = 'test'
 ORACLES["source_counts"] = _MERGED + f"""
 SELECT split, source, count(*) AS n, {', '.join(f'CAST(sum({l}) AS BIGINT) AS {l}' for l in LABELS)}
 FROM merged GROUP BY ROLLUP (split, source)"""
+
+
+# ------------------------------------------------------------ evaluation
+_LOWCT = "lower(coalesce(comment_text, ''))"
+_PA_SQL = ", ".join(f"{S.fixture_score(l, 'doc_id')} AS pa_{l}" for l in LABELS)
+_PB_SQL = ", ".join(f"{S.marker_score(l, _LOWCT, lx.EN_MARKERS)} AS pb_{l}" for l in LABELS)
+_EV = (f"(SELECT doc_id, comment_text, {', '.join(LABELS)}, {_PA_SQL}, {_PB_SQL} "
+       f"FROM {S.comment_table()} WHERE {_scored_cond})")
+
+
+def _div(num, den):
+    return f"CASE WHEN ({den}) = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) END"
+
+
+def _conf_sql(src, pfx="pa_", by=""):
+    sel_by = f"{by}, " if by else ""
+    grp = f" GROUP BY {by}" if by else ""
+    return " UNION ALL ".join(
+        f"SELECT {sel_by}'{l}' AS label, count(*) FILTER (WHERE {l} = 1 AND {pfx}{l} >= 0.5) AS tp, "
+        f"count(*) FILTER (WHERE {l} <> 1 AND {pfx}{l} >= 0.5) AS fp, "
+        f"count(*) FILTER (WHERE {l} = 1 AND NOT ({pfx}{l} >= 0.5)) AS fn, "
+        f"count(*) FILTER (WHERE {l} <> 1 AND NOT ({pfx}{l} >= 0.5)) AS tn FROM {src}{grp}" for l in LABELS)
+
+
+ORACLES["confusion"] = f"SELECT *, tp + fn AS support FROM ({_conf_sql(_EV)})"
+
+
+def _metrics_sql(conf):
+    return (f"SELECT label, tp + fn AS support, round({_div('tp', 'tp + fp')}, 6) AS precision, "
+            f"round({_div('tp', 'tp + fn')}, 6) AS recall, round({_div('2 * tp', '2 * tp + fp + fn')}, 6) AS f1 "
+            f"FROM ({conf})")
+
+
+ORACLES["label_metrics"] = _metrics_sql(_conf_sql(_EV))
+
+
+def _overall_sql(src, pfx="pa_", by=None, rnd=True):
+    """Macro (all / tested) and micro F1, Hamming loss, subset accuracy."""
+    by_sel = f"{by}, " if by else ""
+    grp = f" GROUP BY {by}" if by else ""
+    wrong = " + ".join(f"CAST(({l} = 1) <> ({pfx}{l} >= 0.5) AS INTEGER)" for l in LABELS)
+    cnt = ", ".join(
+        f"count(*) FILTER (WHERE {l} = 1 AND {pfx}{l} >= 0.5) AS tp_{l}, "
+        f"count(*) FILTER (WHERE {l} <> 1 AND {pfx}{l} >= 0.5) AS fp_{l}, "
+        f"count(*) FILTER (WHERE {l} = 1 AND NOT ({pfx}{l} >= 0.5)) AS fn_{l}" for l in LABELS)
+    f1 = {l: _div(f"2 * tp_{l}", f"2 * tp_{l} + fp_{l} + fn_{l}") for l in LABELS}
+    sup = {l: f"(tp_{l} + fn_{l})" for l in LABELS}
+    tested_n = " + ".join(f"CASE WHEN {sup[l]} > 0 THEN 1 ELSE 0 END" for l in LABELS)
+    tested_sum = " + ".join(f"CASE WHEN {sup[l]} > 0 THEN {f1[l]} ELSE 0.0 END" for l in LABELS)
+    tp = " + ".join(f"tp_{l}" for l in LABELS)
+    fp = " + ".join(f"fp_{l}" for l in LABELS)
+    fn = " + ".join(f"fn_{l}" for l in LABELS)
+    r = (lambda x: f"round({x}, 6)") if rnd else (lambda x: x)
+    return f"""SELECT {by_sel}n, {r(f"({' + '.join(f1.values())}) / 6.0")} AS macro_f1,
+  {r(f"CASE WHEN ({tested_n}) > 0 THEN ({tested_sum}) / ({tested_n}) END")} AS macro_f1_tested,
+  {r(_div(f'2 * ({tp})', f'2 * ({tp}) + ({fp}) + ({fn})'))} AS micro_f1,
+  {r(_div('wrong', 'n * 6'))} AS hamming_loss, {r(_div('exact', 'n'))} AS subset_accuracy
+FROM (SELECT {by_sel}count(*) AS n, sum({wrong}) AS wrong, count(*) FILTER (WHERE ({wrong}) = 0) AS exact, {cnt}
+      FROM {src}{grp})"""
+
+
+ORACLES["macro_micro"] = _overall_sql(_EV)
+
+
+def _auc_sql(long_sql, keys):
+    """Exact AUC with ties 1/2 over (keys, y, p) via cumulative negatives."""
+    ks = ", ".join(keys)
+    kp = f"{ks}, " if keys else ""
+    part = f"PARTITION BY {ks} " if keys else ""
+    grp = f" GROUP BY {ks}" if keys else ""
+    return f"""SELECT {kp}n_pos, n_neg,
+  CASE WHEN n_pos > 0 AND n_neg > 0 THEN round(u / (n_pos * n_neg), 6) END AS roc_auc
+FROM (SELECT {kp}sum(pos) AS n_pos, sum(neg) AS n_neg, sum(pos * (nb + 0.5 * neg)) AS u
+      FROM (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb
+            FROM (SELECT {kp}p, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
+                  FROM ({long_sql}) GROUP BY {kp}p)){grp})"""
+
+
+def _long_sql(src, pfx="pa_"):
+    return " UNION ALL ".join(f"SELECT '{l}' AS label, {l} AS y, {pfx}{l} AS p FROM {src}" for l in LABELS)
+
+
+ORACLES["roc_auc"] = _auc_sql(_long_sql(_EV), ["label"])
+
+
+def _auc_overall_sql(src):
+    return f"""SELECT (SELECT CASE WHEN count(roc_auc) = 6 THEN round(avg(roc_auc_raw), 6) END
+        FROM (SELECT roc_auc, CASE WHEN n_pos > 0 AND n_neg > 0 THEN u / (n_pos * n_neg) END AS roc_auc_raw
+              FROM ({_auc_sql(_long_sql(src), ['label']).replace('round(u / (n_pos * n_neg), 6) END AS roc_auc', 'u / (n_pos * n_neg) END AS roc_auc').replace('SELECT label, n_pos, n_neg,', 'SELECT label, n_pos, n_neg, u,')}))) AS macro_roc_auc,
+       (SELECT roc_auc FROM ({_auc_sql(f'SELECT y, p FROM ({_long_sql(src)})', [])})) AS micro_roc_auc"""
+
+
+ORACLES["roc_auc_overall"] = _auc_overall_sql(_EV)
+
+_BENCH_SRC = f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {_KEY.format(id='doc_id')}, doc_id) AS pos FROM {_EV}) WHERE pos <= 500)"
+ORACLES["benchmark_eval"] = f"""
+SELECT o.n AS n_test, o.macro_f1, o.micro_f1, o.hamming_loss, o.subset_accuracy, a.macro_roc_auc, a.micro_roc_auc
+FROM ({_overall_sql(_BENCH_SRC)}) o, ({_auc_overall_sql(_BENCH_SRC)}) a"""
+
+_GL = S.category_labels_sql("category", "severity", "label = 'toxic'")
+_GOLD = f"""(SELECT doc_id,
+   list_filter([{', '.join(f"CASE WHEN {_GL[l]} = 1 THEN '{l}' END" for l in LABELS)}], lambda x: x IS NOT NULL) AS expected,
+   list_filter([{', '.join(f"CASE WHEN {S.marker_score(l, "lower(coalesce(text, ''))", lx.EN_MARKERS)} >= 0.5 THEN '{l}' END" for l in LABELS)}], lambda x: x IS NOT NULL) AS predicted,
+   category IN ('benign_conversational', 'literal_or_metalinguistic') AS known_limitation
+ FROM {S.ANNOTATED})"""
+_GOLD_WIDE = f"""(SELECT CASE WHEN coalesce(known_limitation, FALSE) THEN 'known_limitations' ELSE 'gating' END AS slice,
+   list_sort(expected) = list_sort(predicted) AS match,
+   {', '.join(f"CAST(list_contains(expected, '{l}') AS INTEGER) AS {l}" for l in LABELS)},
+   {', '.join(f"CASE WHEN list_contains(predicted, '{l}') THEN 1.0 ELSE 0.0 END AS pg_{l}" for l in LABELS)}
+ FROM {_GOLD})"""
+_GOLDEN_SQL = f"""SELECT o.slice, o.n AS n_examples, e.exact_match_rate, o.macro_f1_tested AS macro_f1
+FROM ({_overall_sql(_GOLD_WIDE, 'pg_', 'slice')}) o
+JOIN (SELECT slice, round(avg(CAST(match AS DOUBLE)), 6) AS exact_match_rate FROM {_GOLD_WIDE} GROUP BY slice) e USING (slice)"""
+ORACLES["golden_eval"] = _GOLDEN_SQL
+
+ORACLES["model_compare"] = f"""
+SELECT a.label, a.f1, b.f1 AS baseline_f1, round(a.f1_raw - b.f1_raw, 6) AS delta
+FROM (SELECT label, round(f1r, 6) AS f1, f1r AS f1_raw FROM (SELECT label, {_div('2 * tp', '2 * tp + fp + fn')} AS f1r FROM ({_conf_sql(_EV, 'pa_')}))) a
+LEFT JOIN (SELECT label, round(f1r, 6) AS f1, f1r AS f1_raw FROM (SELECT label, {_div('2 * tp', '2 * tp + fp + fn')} AS f1r FROM ({_conf_sql(_EV, 'pb_')}))) b
+USING (label)"""
+
+ORACLES["eval_gate"] = f"""
+WITH g AS (SELECT exact_match_rate, macro_f1 AS golden_macro_f1 FROM ({_GOLDEN_SQL}) WHERE slice = 'gating'),
+n AS (SELECT macro_f1 AS new_macro_f1 FROM ({_overall_sql(_EV, 'pa_', rnd=False)})),
+b AS (SELECT macro_f1 AS baseline_macro_f1 FROM ({_overall_sql(_EV, 'pb_', rnd=False)}))
+SELECT exact_match_rate, golden_macro_f1, round(new_macro_f1, 6) AS new_macro_f1, round(baseline_macro_f1, 6) AS baseline_macro_f1,
+  coalesce(exact_match_rate >= 0.75, FALSE) AND coalesce(golden_macro_f1 >= 0.75, FALSE)
+  AND (baseline_macro_f1 IS NULL OR new_macro_f1 > baseline_macro_f1) AS passed
+FROM g, n, b"""
+
+_EV_SLICE = f"(SELECT e.*, d.lang AS slice FROM {_EV} e JOIN documents d USING (doc_id))"
+ORACLES["slice_metrics"] = f"""SELECT slice, n AS n_examples, macro_f1_tested AS macro_f1, micro_f1
+FROM ({_overall_sql(_EV_SLICE, 'pa_', 'slice')})"""
+
+_CW_LONG = " UNION ALL ".join(f"SELECT '{l}' AS label, {l} AS y FROM {_SCORED}" for l in LABELS)
+ORACLES["class_weights"] = f"""
+SELECT label, n, n_pos, n_neg, round(CASE WHEN n_pos > 0 THEN n / (2.0 * n_pos) END, 6) AS w_pos,
+       round(CASE WHEN n_neg > 0 THEN n / (2.0 * n_neg) END, 6) AS w_neg
+FROM (SELECT label, count(*) AS n, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg
+      FROM ({_CW_LONG}) GROUP BY label)"""
