@@ -526,3 +526,58 @@ def q_class_weights(spark, sf_dir):
     return w.select("label", "n", "n_pos", "n_neg",
                     _r(F.when(F.col("n_pos") > 0, F.col("n") / (2.0 * F.col("n_pos")))).alias("w_pos"),
                     _r(F.when(F.col("n_neg") > 0, F.col("n") / (2.0 * F.col("n_neg")))).alias("w_neg"))
+
+
+# ------------------------------------------------------------ features
+from moderato.operators import features as fe  # noqa: E402
+
+
+@query("vocab")
+def q_vocab(spark, sf_dir):
+    """V1 + A24 + W3: the 19,998 most frequent cleaned words with ids."""
+    return fe.vocabulary(_docs(spark, sf_dir))
+
+
+@query("encoded")
+def q_encoded(spark, sf_dir):
+    """V2: every document as 150 word ids (OOV 1, zero padding)."""
+    d = _docs(spark, sf_dir)
+    seq = fe.encode(d, fe.vocabulary(d), "doc_id")
+    return seq.select("doc_id", F.array_join(F.transform("sequence", lambda x: x.cast("string")), ",").alias("sequence"))
+
+
+@query("doc_freq")
+def q_doc_freq(spark, sf_dir):
+    """Document frequency with the min_df cut, both blocks."""
+    d = fe.by_document(_docs(spark, sf_dir), "doc_id", "text")
+    parts = []
+    for a in ("word", "char"):
+        tf = fe.term_counts(d, "doc_id", "text", a)
+        parts.append(fe.document_frequency(tf, "doc_id", fe.ANALYZERS[a]).select(F.lit(a).alias("block"), "term", "df"))
+    return parts[0].unionByName(parts[1])
+
+
+def _tfidf(spark, sf_dir, analyzer):
+    _, w = fe.fit_transform_tfidf(_docs(spark, sf_dir), "doc_id", "text", analyzer)
+    return w.withColumn("weight", _r(F.col("weight")))
+
+
+@query("tfidf_word")
+def q_tfidf_word(spark, sf_dir):
+    """V3: word 1-2-gram TF-IDF (min_df 2, sublinear tf), long form."""
+    return _tfidf(spark, sf_dir, "word")
+
+
+@query("tfidf_char")
+def q_tfidf_char(spark, sf_dir):
+    """V4: char_wb 3-5-gram TF-IDF (min_df 3, sublinear tf), long form."""
+    return _tfidf(spark, sf_dir, "char")
+
+
+@query("tfidf_union")
+def q_tfidf_union(spark, sf_dir):
+    """V5: the union vocabulary with dense feature indices and idf."""
+    d = _docs(spark, sf_dir)
+    docs = fe.by_document(d, "doc_id", "text")
+    models = [fe.fit_tfidf(d, "doc_id", "text", a, docs=docs) for a in ("word", "char")]
+    return fe.feature_index(models).withColumn("idf", _r(F.col("idf")))

@@ -457,3 +457,56 @@ SELECT label, n, n_pos, n_neg, round(CASE WHEN n_pos > 0 THEN n / (2.0 * n_pos)
        round(CASE WHEN n_neg > 0 THEN n / (2.0 * n_neg) END, 6) AS w_neg
 FROM (SELECT label, count(*) AS n, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg
       FROM ({_CW_LONG}) GROUP BY label)"""
+
+
+# ------------------------------------------------------------ features
+_WORDS = f"list_filter(string_split({S.clean_text('text')}, ' '), lambda x: length(x) > 0)"
+_VOCAB = f"""(SELECT word, count, CAST(rn + 1 AS INTEGER) AS index
+ FROM (SELECT word, count, row_number() OVER (ORDER BY count DESC, word) AS rn
+       FROM (SELECT word, count(*) AS count FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word))
+ WHERE rn <= 19998)"""
+ORACLES["vocab"] = f"SELECT * FROM {_VOCAB}"
+ORACLES["encoded"] = f"""
+WITH v AS {_VOCAB},
+d AS (SELECT doc_id, list_slice({_WORDS}, 1, 150) AS w FROM documents),
+e AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+s AS (SELECT doc_id, list(coalesce(v.index, 1) ORDER BY i) AS ids FROM e LEFT JOIN v USING (word) GROUP BY doc_id)
+SELECT d.doc_id, array_to_string(coalesce(ids, []::INTEGER[]) || list_transform(range(150 - len(coalesce(ids, []::INTEGER[]))), lambda x: 0), ',') AS sequence
+FROM documents d LEFT JOIN s USING (doc_id)"""
+
+_WTOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')"
+_WGRAMS = f"(SELECT doc_id, t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) AS grams FROM (SELECT doc_id, {_WTOK} AS t FROM documents))"
+_CWORDS = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[{S.WS}]+'), lambda w: length(w) > 0)"
+_CGRAMS = f"""(SELECT doc_id, flatten(list_transform(ws, lambda w: flatten(list_transform(
+    range(3, least(5, length(w) + 2) + 1),
+    lambda n: list_transform(range(0, length(w) + 2 - n + 1), lambda o: substr(' ' || w || ' ', o + 1, n))))))
+  AS grams FROM (SELECT doc_id, {_CWORDS} AS ws FROM documents))"""
+
+
+def _tf_sql(grams):
+    return f"(SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(grams) AS term FROM {grams}) GROUP BY doc_id, term)"
+
+
+def _df_sql(grams, min_df):
+    return f"(SELECT term, count(*) AS df FROM {_tf_sql(grams)} GROUP BY term HAVING count(*) >= {min_df})"
+
+
+ORACLES["doc_freq"] = (f"SELECT 'word' AS block, term, df FROM {_df_sql(_WGRAMS, 2)} UNION ALL "
+                       f"SELECT 'char' AS block, term, df FROM {_df_sql(_CGRAMS, 3)}")
+
+
+def _tfidf_sql(grams, min_df):
+    return f"""
+WITH tf AS {_tf_sql(grams)}, n AS (SELECT count(*) AS n FROM documents),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= {min_df}),
+w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN df USING (term), n)
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""
+
+
+ORACLES["tfidf_word"] = _tfidf_sql(_WGRAMS, 2)
+ORACLES["tfidf_char"] = _tfidf_sql(_CGRAMS, 3)
+ORACLES["tfidf_union"] = f"""
+WITH n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT 'w:' || term AS feature, df FROM {_df_sql(_WGRAMS, 2)} UNION ALL SELECT 'c:' || term AS feature, df FROM {_df_sql(_CGRAMS, 3)})
+SELECT feature, CAST(row_number() OVER (ORDER BY md5(feature), feature) - 1 AS INTEGER) AS idx,
+       round(ln((1.0 + n) / (1.0 + df)) + 1, 6) AS idf FROM v, n"""
