@@ -581,3 +581,34 @@ def q_tfidf_union(spark, sf_dir):
     docs = fe.by_document(d, "doc_id", "text")
     models = [fe.fit_tfidf(d, "doc_id", "text", a, docs=docs) for a in ("word", "char")]
     return fe.feature_index(models).withColumn("idf", _r(F.col("idf")))
+
+
+# ------------------------------------------------------------ presentation & streaming
+from moderato.functions import present as pr  # noqa: E402
+
+
+@query("ranked_scores")
+def q_ranked_scores(spark, sf_dir):
+    """O1: label/percent pairs high to low (fixture scores)."""
+    d = _docs(spark, sf_dir)
+    r = pr.ranked_scores(fx.fixture_scores(F.col("doc_id")))
+    s = F.array_join(F.transform(r, lambda x: F.concat(x["label"], F.lit(":"), x["pct"].cast("string"))), ",")
+    return d.select("doc_id", s.alias("ranked"))
+
+
+@query("verdict_text")
+def q_verdict_text(spark, sf_dir):
+    """verdict line and tags per document (auto language, marker scorers)."""
+    m = moderate(_docs(spark, sf_dir), "text", language="auto")
+    return m.select("doc_id", pr.verdict_line(F.col("language"), F.col("is_toxic"), F.col("flagged_labels")).alias("verdict"),
+                    pr.label_tags(F.col("flagged_labels")).alias("tags"))
+
+
+@query("moderate_stream")
+def q_moderate_stream(spark, sf_dir):
+    """Documents read as a file stream, moderated by the batch function,
+    drained with availableNow; equals ``moderate_auto``."""
+    from moderato.streaming import moderate_stream as ms
+    stream = ms.read_stream(spark, sf_dir, glob="documents.parquet")
+    out = ms.run_to_table(spark, ms.moderate_stream(stream.select("doc_id", "text"), "text").drop("thresholds_used"))
+    return moderated_view(spark.read.parquet(out), "doc_id")

@@ -510,3 +510,21 @@ WITH n AS (SELECT count(*) AS n FROM documents),
 v AS (SELECT 'w:' || term AS feature, df FROM {_df_sql(_WGRAMS, 2)} UNION ALL SELECT 'c:' || term AS feature, df FROM {_df_sql(_CGRAMS, 3)})
 SELECT feature, CAST(row_number() OVER (ORDER BY md5(feature), feature) - 1 AS INTEGER) AS idx,
        round(ln((1.0 + n) / (1.0 + df)) + 1, 6) AS idf FROM v, n"""
+
+
+# ------------------------------------------------------------ presentation & streaming
+ORACLES["moderate_stream"] = ORACLES["moderate_auto"]
+_RANK_ITEMS = ", ".join(
+    f"{{'neg': -({S.fixture_score(l, 'doc_id')}), 'i': {i}, 'label': '{l}', "
+    f"'pct': least(100, CAST(floor({S.fixture_score(l, 'doc_id')} * 100 + 0.5) AS INTEGER))}}"
+    for i, l in enumerate(LABELS))
+ORACLES["ranked_scores"] = f"""
+SELECT doc_id, array_to_string(list_transform(list_sort([{_RANK_ITEMS}]), lambda x: x.label || ':' || CAST(x.pct AS VARCHAR)), ',') AS ranked
+FROM documents"""
+ORACLES["verdict_text"] = _moderated_sql("documents", "doc_id") + """
+SELECT doc_id,
+  CASE WHEN len(fl_list) > 0 THEN '[' || upper(language) || '] Flagged: ' || array_to_string(fl_list, ', ')
+       ELSE '[' || upper(language) || '] No toxicity detected' END AS verdict,
+  CASE WHEN len(fl_list) > 0 THEN array_to_string(list_transform(fl_list, lambda x: regexp_replace(x, '_', ' ')), ' ')
+       ELSE 'none' END AS tags
+FROM fl"""
