@@ -612,3 +612,19 @@ def q_moderate_stream(spark, sf_dir):
     stream = ms.read_stream(spark, sf_dir, glob="documents.parquet")
     out = ms.run_to_table(spark, ms.moderate_stream(stream.select("doc_id", "text"), "text").drop("thresholds_used"))
     return moderated_view(spark.read.parquet(out), "doc_id")
+
+
+# ------------------------------------------------------------ training
+@query("train_calibrated")
+def q_train_calibrated(spark, sf_dir):
+    """T1 + T4: calibrated per-label models on the train split of the
+    annotated rows, metrics on its validation split (long form)."""
+    from moderato.operators.train import train_calibrated, validation_metrics
+    a = fx.annotated(spark, sf_dir)
+    labs = category_labels(F.col("category"), F.col("severity"), F.col("label") == "toxic")
+    rows = a.select("doc_id", "text", *[labs[l].alias(l) for l in LABELS])
+    split = smp.split_assign(rows.select("doc_id"), "doc_id").select("doc_id", "split")
+    rows = rows.join(split, "doc_id")
+    model = train_calibrated(rows.filter(F.col("split") == "train"))
+    m = validation_metrics(model, rows.filter(F.col("split") == "validation"))
+    return m.withColumn("value", _r(F.col("value")))
