@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return table(spark, sf_dir, "documents", key="doc_id").select("doc_id", "text", "lang", "source")
 
 
 def category_of(doc_id: Column) -> Column:
@@ -48,10 +48,14 @@ def category_of(doc_id: Column) -> Column:
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2-shaped rows: ``doc_id, text, lang, source, label, category, severity``.
 
-    documents x labels is a key-to-key join on ``doc_id``; Catalyst picks a
-    sort-merge join (labels is not broadcast: it grows with the data)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    labs = table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
+    documents x labels is a key-to-key join on ``doc_id``.  No broadcast is
+    forced: labels grows with the data, so Spark's own size check (and AQE
+    at runtime) broadcasts it only while it is small, and otherwise runs a
+    sort-merge join on the co-partitioned sides."""
+    # Both sides spread by doc_id (when spread at all) are co-partitioned, so
+    # the join adds no exchange of its own.
+    docs = table(spark, sf_dir, "documents", key="doc_id").select("doc_id", "text", "lang", "source")
+    labs = table(spark, sf_dir, "labels", key="doc_id").select("doc_id", "toxic", "quality")
     j = docs.join(labs, "doc_id")
     tox = F.col("toxic") == 1
     return j.select(
