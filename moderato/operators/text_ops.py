@@ -35,7 +35,8 @@ def lexicon_hits(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     shuffle, so a hot term costs one row per task)."""
     builtin = lexicon is None
     lex = (lexicon if lexicon is not None else lexicon_table(df.sparkSession)).select("term", "kind").distinct()
-    toks = df.select(F.col(id_col).alias("_id"), F.explode(tokens(F.col(text_col))).alias("term"))
+    toks = df.select(F.col(id_col).alias("_id"), F.explode_outer(tokens(F.col(text_col))).alias("term")) \
+        .filter(F.col("term").isNotNull())
     j = toks.join(F.broadcast(lex) if builtin else lex, "term")
     return j.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("hits"),
                                          F.countDistinct("_id").alias("docs"))
@@ -53,4 +54,7 @@ def split_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     base = df.select(F.col(id_col), lines.alias("_lines"))
     base = base.withColumn("n_lines", F.size("_lines")).withColumn(
         "accepted", (F.col("n_lines") >= 1) & (F.col("n_lines") <= max_items))
-    return base.select(id_col, F.posexplode("_lines").alias("line_no", "line"), "n_lines", "accepted")
+    # posexplode_outer + null filter keeps Spark from inferring a size filter
+    # and pushing the line splitting below an upstream repartition.
+    return base.select(id_col, F.posexplode_outer("_lines").alias("line_no", "line"), "n_lines", "accepted") \
+        .filter(F.col("line").isNotNull())
