@@ -47,10 +47,6 @@ SELECT conv_id, count(*) AS total, CAST(count(*) FILTER (WHERE len(fl_list) > 0)
 FROM fl GROUP BY conv_id"""
 
 
-def _fx_scores(id_expr="doc_id", prefix="s_"):
-    return S.fixture_scores_cols(id_expr, prefix)
-
-
 ORACLES["clean_text"] = f"SELECT doc_id, {S.clean_text('text')} AS clean FROM documents"
 
 ORACLES["tokens"] = f"""SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens

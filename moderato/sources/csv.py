@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moderato.functions.labels import category_labels
-from moderato.schema import (COMMENT_ROW, CUSTOM_PREFIX, INGEST_COLUMNS, LABELS, RESERVED_NATIVE_FILES,
+from moderato.schema import (COMMENT_ROW, CUSTOM_PREFIX, INGEST_COLUMNS, RESERVED_NATIVE_FILES,
                              SOURCE_NATIVE, TEMPLATE_FILE, TEMPLATE_MAX_ROWS)
 
 # The strings pandas' CSV reader treats as missing by default.
