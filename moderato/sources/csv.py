@@ -148,3 +148,26 @@ def discover_custom(spark: SparkSession, directory: str) -> DataFrame | None:
     if not parts:
         return None
     return custom_rows(reduce(DataFrame.unionByName, parts))
+
+
+def validate_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A8 for a file: a missing file fails with one ``missing_file`` row;
+    otherwise the header decides the columns (all read as strings) and the
+    rows go through ``validate_rows``."""
+    from moderato.operators.validate import validate_rows
+    if not path_exists(spark, path):
+        return spark.createDataFrame([("missing_file", "error", 1, path)],
+                                     "rule string, level string, n bigint, value string")
+    if schema is None:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in csv_header(spark, path)])
+    return validate_rows(read_csv(spark, path, schema))
+
+
+def write_splits(df: DataFrame, path: str, fmt: str = "parquet", split_col: str = "split") -> None:
+    """Overwrite the built splits, one directory per split value
+    (``partitionBy``), so a reader of one split prunes the others."""
+    w = df.write.mode("overwrite").partitionBy(split_col)
+    if fmt == "csv":
+        w = w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+             .option("ignoreTrailingWhiteSpace", False)
+    w.format(fmt).save(path)

@@ -106,3 +106,25 @@ def test_csv_roundtrip_and_na(spark, tmp_dir):
     out = os.path.join(tmp_dir, "out")
     src.scan_comments(spark, p).write.mode("overwrite").partitionBy("toxic").parquet(out)
     assert spark.read.parquet(out).filter(F.col("toxic") == -1).count() == 1
+
+
+def test_validate_csv_file_api(spark, tmp_dir):
+    from moderato.operators.validate import validate_verdict
+    missing = src.validate_csv(spark, os.path.join(tmp_dir, "absent.csv"))
+    assert not validate_verdict(missing).first().passed
+    p = os.path.join(tmp_dir, "ok.csv")
+    _write(p, "Mhoro,non-toxic,benign_conversational,0,mhoro\n")
+    assert validate_verdict(src.validate_csv(spark, p)).first().passed
+
+
+def test_write_splits_prunes(spark, tmp_dir):
+    df = spark.createDataFrame([("train", "a", 0), ("test", "b", 1), ("validation", "c", 0)],
+                               "split string, comment_text_sn string, toxic int")
+    for fmt in ("parquet", "csv"):
+        out = os.path.join(tmp_dir, f"splits_{fmt}")
+        src.write_splits(df, out, fmt)
+        assert sorted(f for f in os.listdir(out) if not f.startswith(".")) == ["_SUCCESS", "split=test", "split=train", "split=validation"]
+        r = spark.read.format(fmt).option("header", True).load(out).filter(F.col("split") == "test")
+        assert "PartitionFilters: [isnotnull(split" in r._jdf.queryExecution().executedPlan().toString() or \
+            "split#" in r._jdf.queryExecution().executedPlan().toString()
+        assert [x.comment_text_sn for x in r.collect()] == ["b"]
