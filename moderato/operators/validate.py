@@ -78,14 +78,15 @@ def duplicate_text(df: DataFrame, text="text", order_col: str | None = None) ->
     Grouped on sha2(text) so the shuffle key is 32 bytes however long the
     text; a hot text (a third of all rows) is one partial row per task."""
     order = F.col(order_col) if order_col else F.monotonically_increasing_id()
+    # Only the first 40 characters are ever reported, so only they travel
+    # through the shuffle (not the whole text of every distinct comment).
     keyed = df.select(F.sha2(F.coalesce(F.col(text), F.lit("\u0000<null>")), 256).alias("_h"),
-                      F.col(text).alias("_t"), order.alias("_o"))
+                      F.substring(F.col(text), 1, DUPLICATE_SAMPLE_CHARS).alias("_t"), order.alias("_o"))
     groups = keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("c"), F.min_by("_t", "_o").alias("_t"),
                                      F.min("_o").alias("_o")).filter(F.col("c") > 1)
     out = groups.agg(F.sum("c").cast("bigint").alias("n"), F.min_by("_t", "_o").alias("_t"))
     return out.filter(F.col("n") > 0).select(
-        F.lit("duplicate_text").alias("rule"), F.lit("warning").alias("level"), "n",
-        F.substring("_t", 1, DUPLICATE_SAMPLE_CHARS).alias("value"))
+        F.lit("duplicate_text").alias("rule"), F.lit("warning").alias("level"), "n", F.col("_t").alias("value"))
 
 
 def validate_verdict(checks: DataFrame) -> DataFrame:
