@@ -534,15 +534,16 @@ from moderato.operators import features as fe  # noqa: E402
 
 @query("vocab")
 def q_vocab(spark, sf_dir):
-    """V1 + A24 + W3: the 19,998 most frequent cleaned words with ids."""
-    return fe.vocabulary(_docs(spark, sf_dir))
+    """V1 + A24 + W3: the 19,998 most frequent cleaned words with ids
+    (ties: first appearance in doc_id order)."""
+    return fe.vocabulary(_docs(spark, sf_dir), order_col="doc_id")
 
 
 @query("encoded")
 def q_encoded(spark, sf_dir):
     """V2: every document as 150 word ids (OOV 1, zero padding)."""
     d = _docs(spark, sf_dir)
-    seq = fe.encode(d, fe.vocabulary(d), "doc_id")
+    seq = fe.encode(d, fe.vocabulary(d, order_col="doc_id"), "doc_id")
     return seq.select("doc_id", F.array_join(F.transform("sequence", lambda x: x.cast("string")), ",").alias("sequence"))
 
 

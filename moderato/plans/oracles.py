@@ -458,8 +458,12 @@ FROM (SELECT label, count(*) AS n, count(*) FILTER (WHERE y = 1) AS n_pos, count
 # ------------------------------------------------------------ features
 _WORDS = f"list_filter(string_split({S.clean_text('text')}, ' '), lambda x: length(x) > 0)"
 _VOCAB = f"""(SELECT word, count, CAST(rn + 1 AS INTEGER) AS index
- FROM (SELECT word, count, row_number() OVER (ORDER BY count DESC, word) AS rn
-       FROM (SELECT word, count(*) AS count FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word))
+ FROM (SELECT word, count, row_number() OVER (ORDER BY count DESC, first_doc, first_pos, word) AS rn
+       FROM (SELECT word, count(*) AS count, arg_min(doc_id, doc_id * 1000000 + pos) AS first_doc,
+                    arg_min(pos, doc_id * 1000000 + pos) AS first_pos
+             FROM (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word
+                   FROM (SELECT doc_id, {_WORDS} AS w FROM documents))
+             GROUP BY word))
  WHERE rn <= 19998)"""
 ORACLES["vocab"] = f"SELECT * FROM {_VOCAB}"
 ORACLES["encoded"] = f"""
