@@ -45,6 +45,8 @@ def main():
         "queries": times,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "documents": n_docs,
+        "cpus": cpus,
+        "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions")),
         "moderate_auto_comments_per_sec": round(n_docs / times["moderate_auto"], 1) if times.get("moderate_auto") else None,
     }
     print(json.dumps(out))
