@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from moderato.llm.hd_language import op2_hd_language_id
 from moderato.llm.ngram_join import op10_ngram_jaccard_join
+from moderato.llm.packing import op9_best_fit_packing
+from moderato.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {f.__name__: f for f in (
-    op10_ngram_jaccard_join,
+    op2_hd_language_id, op7_warc, op9_best_fit_packing, op10_ngram_jaccard_join,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_warc": OP7_SQL}
