@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from moderato.llm.decontaminate import op3_benchmark_decontamination
+from moderato.llm.embedding_dedup import OP4_SQL, op4_embedding_near_dedup
 from moderato.llm.hd_language import op2_hd_language_id
+from moderato.llm.license_scan import op8_license_scan
 from moderato.llm.ngram_join import op10_ngram_jaccard_join
 from moderato.llm.packing import op9_best_fit_packing
+from moderato.llm.pii import op5_personal_data
 from moderato.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {f.__name__: f for f in (
-    op2_hd_language_id, op7_warc, op9_best_fit_packing, op10_ngram_jaccard_join,
+    op2_hd_language_id, op3_benchmark_decontamination, op4_embedding_near_dedup, op5_personal_data, op7_warc, op8_license_scan,
+    op9_best_fit_packing, op10_ngram_jaccard_join,
 )}
 
-ORACLES = {"op7_warc": OP7_SQL}
+ORACLES = {"op4_embedding_near_dedup": OP4_SQL, "op7_warc": OP7_SQL}
