@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moderato.session import scratch_path
@@ -21,9 +21,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def by_id(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
-    """Only the named columns, so that others cannot clash; rows without an id are left out."""
-    return df.select(F.col(id_col).cast("long").alias("id"), *cols).filter("id IS NOT NULL")
+def one_text_per_id(every: DataFrame) -> DataFrame:
+    """``id, text`` with one row for each id: where rows repeat an id, the
+    smallest of its texts stands for them.  Rows without an id all stay."""
+    if not every.groupBy("id").count().filter("count > 1 AND id IS NOT NULL").head(1):
+        return every
+    ids = every.filter("id IS NOT NULL").groupBy("id").agg(F.min("text").alias("text"))
+    return every.filter("id IS NULL").unionByName(ids)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -56,7 +60,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return top.select(F.col("u").alias("node"), "component").unionByName(
         roots.select("node", F.col("node").alias("component")))
 
-
-def salted(key: Column, by: Column, n: int) -> Column:
-    """A shuffle key that deals a hot ``key`` out over ``n`` parts by ``by``."""
-    return F.struct(key, F.pmod(F.xxhash64(by), F.lit(n)))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moderato.llm.common import components, documents, stage
+from moderato.llm.common import components, documents, one_text_per_id, stage
 from moderato.llm.textbytes import blocks, mix, shingle_sets, utf8
 
 PERCENT = 80
@@ -214,8 +214,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id reachable by links of at least ``percent`` per cent similarity."""
     spark = docs.sparkSession
     every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    if every.groupBy("id").count().filter("count > 1 AND id IS NOT NULL").head(1):
-        every = every.filter("id IS NULL").unionByName(every.filter("id IS NOT NULL").groupBy("id").agg(F.min("text").alias("text")))
+    every = one_text_per_id(every)
     info = stage(every.mapInArrow(_profile(k, SKETCH_BITS), _INFO), "shingle-sets")
     ranks = spark.sparkContext.broadcast(frequent_ranks(_sketch(info, SKETCH_BITS)))
     sized = info.filter("kind = 0").select("id", "n", "digest")
