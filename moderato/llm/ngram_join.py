@@ -113,34 +113,41 @@ def _classes(n: int) -> int:
 
 
 def prefix_keys(s: np.ndarray, ranks: np.ndarray, bits: int, percent: int):
-    """The index keys of one set; also the order of the prefix's last shingle and whether it was extended."""
+    """The index keys of one set and the reach of each: a shared key makes two sets
+    a pair only if for both ``reach <= n - (overlap that they need)``.  Also the order of
+    the prefix's last shingle and whether it was extended."""
     n = len(s)
     base = n - _least(n, percent) + 1
     if n == 0:
-        return s[:0], 0, False
+        return s[:0], np.zeros(0, np.int64), 0, False
     rank = ranks[s >> np.uint64(64 - bits)]
     order = np.lexsort((s, rank))
     s, rank = s[order], rank[order]
     rare = int(np.searchsorted(rank[:base], 0, "right"))
-    keys = [s[:rare]]
+    keys, reach = [s[:rare]], [np.arange(rare)]
     if rare < base:
         for c in sorted({_classes(n), _classes(_least(n, percent))}):
             f = s[rare:min(n, base + c)]
             cls = (mix(f) & np.uint64(c - 1)).astype(np.int64)
             by = np.argsort(cls, kind="stable")
-            f, cls = f[by], cls[by]
+            f, cls, at = f[by], cls[by], rare + by - c
             # f is in one order for all sets, so a pair is taken the same way round everywhere
             for gap in range(1, len(f)):
                 same = cls[gap:] == cls[:-gap]
                 if not same.any():
                     break
                 keys.append(mix(mix(f[:-gap][same]) + np.uint64(3) * f[gap:][same] + np.uint64(c)))
-    out = np.unique(np.concatenate(keys))
+                reach.append(at[gap:][same])
+    keys, reach = np.concatenate(keys), np.concatenate(reach)
+    order = np.lexsort((reach, keys))
+    keys, reach = keys[order], reach[order]
+    once = np.append(True, keys[1:] != keys[:-1])[:len(keys)]
     last = s[base - 1] >> np.uint64(1)
-    return out, int(last), rare < base
+    return keys[once], reach[once], int(last), rare < base
 
 
-_POST = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("last", pa.int64()), ("ext", pa.bool_())])
+_POST = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("last", pa.int64()), ("ext", pa.bool_()),
+                   ("reach", pa.int32())])
 
 
 def _index(k: int, bits: int, percent: int, shared):
@@ -157,7 +164,8 @@ def _index(k: int, bits: int, percent: int, shared):
                         [pa.array(np.concatenate([x[0] for x in found]).view(np.int64)),
                          ids.slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), size))),
                          pa.array(rep([len(s) for s in sets], np.int32)),
-                         pa.array(rep([x[1] for x in found], np.int64)), pa.array(rep([x[2] for x in found], bool))], schema=_POST)
+                         pa.array(rep([x[2] for x in found], np.int64)), pa.array(rep([x[3] for x in found], bool)),
+                         pa.array(np.concatenate([x[1] for x in found]).astype(np.int32))], schema=_POST)
     return run
 
 
@@ -197,15 +205,19 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = K, percent: int = PERCEN
 
 def _best_hubs(posts: DataFrame, hub) -> DataFrame:
     """For each text the hub of another component with which it shares most keys."""
-    hubs = posts.groupBy("key").agg(F.min_by(F.struct("id", "n", "component"), hub).alias("h"))
+    hubs = posts.groupBy("key").agg(F.min_by(F.struct("id", "n", "component", "ext", "reach"), hub).alias("h"))
     met = (posts.join(hubs, "key").filter("h.id <> id AND h.component <> component")
-           .filter(_sizes("n", "h.n")).groupBy("id", F.col("h.id").alias("hub")).agg(F.count(F.lit(1)).alias("c")))
+           .filter(_may_link("", "h.")).groupBy("id", F.col("h.id").alias("hub")).agg(F.count(F.lit(1)).alias("c")))
     best = met.groupBy("id").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     return best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def _sizes(x: str, y: str, percent: int = PERCENT):
-    return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
+def _may_link(x: str, y: str, percent: int = PERCENT):
+    """Whether the sizes allow the similarity and, for two extended prefixes, the key
+    lies within what the overlap that these sizes need leaves of both."""
+    need = f"ceil({percent} * ({x}n + {y}n) / {100 + percent}D)"
+    return F.expr(f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) AND (NOT ({x}ext AND {y}ext) OR "
+                  f"{x}reach <= {x}n - {need} AND {y}reach <= {y}n - {need})")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
@@ -223,7 +235,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     .select("id", "n", F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("id")).alias("head")), "classes")
 
     texts = every.filter("id IS NOT NULL")
-    posts = stage(texts.mapInArrow(_index(k, SKETCH_BITS, percent, ranks), "key long, id long, n int, last long, ext boolean"), "postings")
+    posts = stage(texts.mapInArrow(_index(k, SKETCH_BITS, percent, ranks), "key long, id long, n int, last long, ext boolean, reach int"), "postings")
     keys = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     only = classes.filter("id = head").select("id").distinct()
     posts = stage(posts.join(keys, "key").join(only, "id", "left_semi").withColumn("component", F.col("id")), "shared")
@@ -245,7 +257,7 @@ def _relabelled(posts: DataFrame, links: DataFrame) -> DataFrame:
     """The postings with their components of now, without the keys that lie in one component."""
     label = components(links).withColumnRenamed("component", "now")
     return stage(_unresolved(posts.join(label, posts["id"] == label["node"], "left")
-                             .select("key", "id", "n", "last", "ext", F.coalesce("now", "id").alias("component"))), "labelled")
+                             .select("key", "id", "n", "last", "ext", "reach", F.coalesce("now", "id").alias("component"))), "labelled")
 
 
 def _unresolved(posts: DataFrame) -> DataFrame:
@@ -266,8 +278,7 @@ def _crossing(posts: DataFrame, percent: int) -> DataFrame:
     major = size.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"))
     tagged = posts.join(major, "key").withColumn("inner", F.col("component") == F.col("major")).drop("major")
     x, y = tagged.filter("NOT inner").alias("x"), tagged.alias("y")
-    met = x.join(y, F.expr("x.key = y.key AND x.component <> y.component AND (y.inner OR x.id < y.id)"
-                           f" AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
+    met = x.join(y, F.expr("x.key = y.key AND x.component <> y.component AND (y.inner OR x.id < y.id)") & _may_link("x.", "y.", percent))
     pair = met.select(*[F.when(F.expr("x.id < y.id"), F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(f"{e}{c}")
                         for e, p, q in (("a", "x", "y"), ("b", "y", "x")) for c in ("id", "n", "last", "ext")])
     grouped = pair.groupBy("aid", "bid").agg(F.count(F.lit(1)).alias("c"), *[F.first(f"{e}{c}").alias(f"{e}{c}")
