@@ -13,7 +13,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     reads it back: the lineage is cut and lost executors lose nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
