@@ -47,12 +47,12 @@ def tokens(col: Column | str) -> Column:
 
 def strip(col: Column) -> Column:
     """Strip Unicode whitespace at both ends (Python ``str.strip``)."""
-    return F.regexp_replace(col, _u(r"^\s+|\s+$"), "")
+    return F.regexp_replace(col, _u(r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"), "")
 
 
 def is_scoreable(col: Column | str) -> Column:
     """A string that is non-empty after stripping whitespace."""
-    return as_text(col).rlike(_u(r"\S"))
+    return as_text(col).rlike(_u(r"[^\s\x1c-\x1f]"))
 
 
 def truncate_for_translation(col: Column | str, max_chars: int = TRANSLATION_MAX_CHARS) -> Column:

@@ -246,7 +246,9 @@ def moderate(df: DataFrame, text_col: str = "text", language: str | Column = "en
     elif isinstance(language, str):
         lang = F.lit(language)
     else:
-        lang = language
+        # A row may carry its own language: "auto" is detected, NULL is the default.
+        lang = F.when(language == "auto", detect_language(toks=toks, default="en")).otherwise(
+            F.coalesce(language, F.lit("en")))
     thr = resolve_thresholds(thresholds, global_threshold, per_label)
     base = df.withColumn("language", lang).withColumn("_scoreable", is_scoreable(text))
 

@@ -18,12 +18,15 @@ from moderato.functions.lexicon import VALID_CATEGORIES
 from moderato.schema import REQUIRED_COLUMNS, VALID_LABEL_VALUES
 
 DUPLICATE_SAMPLE_CHARS = 40
+# Plain decimal numbers: no type suffixes such as "2f".
+NUMERIC = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _OUT = "rule string, level string, n bigint, value string"
 
 
 def severity_number(sev: Column) -> Column:
     """Severity as a finite DOUBLE, NULL when missing or not numeric."""
-    num = sev.cast("string").try_cast("double")
+    text = sev.cast("string")
+    num = F.when(text.rlike(NUMERIC), text.try_cast("double"))
     return F.when(F.isnan(num) | (F.abs(num) == float("inf")), F.lit(None).cast("double")).otherwise(num)
 
 
@@ -49,7 +52,7 @@ def validate_rows(df: DataFrame, text="text", label="label", category="category"
     aggs += [F.count_if(bad_label).alias("invalid_label"),
              F.count_if(bad_cat).alias("invalid_category"),
              F.count_if(sev.isNull()).alias("severity_non_integer"),
-             F.count_if((sev.cast("int") < 0) | (sev.cast("int") > 4)).alias("severity_out_of_range"),
+             F.count_if((sev <= -1) | (sev >= 5)).alias("severity_out_of_range"),
              F.count_if((lab == "non-toxic") & (sev > 0)).alias("nontoxic_with_severity"),
              F.count_if((lab == "toxic") & (sev == 0)).alias("toxic_severity_zero")]
     wide = df.agg(*aggs)

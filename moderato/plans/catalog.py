@@ -629,6 +629,6 @@ def q_train_calibrated(spark, sf_dir):
     rows = a.select("doc_id", "text", *[labs[l].alias(l) for l in LABELS])
     split = smp.split_assign(rows.select("doc_id"), "doc_id").select("doc_id", "split")
     rows = rows.join(split, "doc_id")
-    model = train_calibrated(rows.filter(F.col("split") == "train"))
+    model = train_calibrated(rows.filter(F.col("split") == "train"), allow_small=True)
     m = validation_metrics(model, rows.filter(F.col("split") == "validation"))
     return m.withColumn("value", _r(F.col("value")))

@@ -91,8 +91,11 @@ def scan_comments(spark: SparkSession, path: str, fmt: str = "csv", schema: T.St
 
 
 def severity_int(sev: Column) -> Column:
-    """``int(severity)`` on a numeric column: truncation toward zero."""
-    return sev.cast("string").try_cast("double").cast("int")
+    """``int(severity)`` on a numeric column: truncation toward zero; values
+    beyond the INT range stay at its ends."""
+    from moderato.operators.validate import severity_number
+    num = severity_number(sev)
+    return F.when(num.isNotNull(), F.greatest(F.least(num, F.lit(2147483647.0)), F.lit(-2147483648.0)).cast("int"))
 
 
 def native_rows(df: DataFrame, source: str | Column = SOURCE_NATIVE, text="text", label="label",
@@ -109,12 +112,17 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.csv)?/?$", 1)
 
 
+def decoded_path(uri: Column) -> Column:
+    """A URI-encoded path as plain text (a plus sign stands for itself)."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def custom_rows(df: DataFrame, file_col: str = "_file") -> DataFrame:
     """S3 rules on rows tagged with their file: reserved names are skipped,
     the starter template is skipped while it has at most 15 rows, and a file
     with any severity that is not a number is skipped whole; survivors get
     ``source = custom_<stem>``.  The per-file check is one small aggregate
-    (one row per file: a bounded, broadcast table)."""
+    (one row per file); Spark decides whether it is small enough to broadcast."""
     name = F.regexp_extract(F.col(file_col), r"([^/]+)$", 1)
     base = df.withColumn("_name", name).filter(~F.col("_name").isin(RESERVED_NATIVE_FILES))
     sev_bad = F.col("severity").isNull() | severity_int(F.col("severity")).isNull()
@@ -122,7 +130,7 @@ def custom_rows(df: DataFrame, file_col: str = "_file") -> DataFrame:
                                                    F.count_if(sev_bad).alias("_bad"))
     good = per_file.filter((F.col("_bad") == 0) & ~((F.col("_name") == TEMPLATE_FILE)
                                                     & (F.col("_rows") <= TEMPLATE_MAX_ROWS)))
-    kept = base.join(F.broadcast(good.select(file_col)), file_col, "left_semi")
+    kept = base.join(good.select(file_col), file_col, "left_semi")
     src = F.concat(F.lit(CUSTOM_PREFIX), file_stem(F.col(file_col)))
     return native_rows(kept, src).drop("_name")
 
@@ -144,7 +152,7 @@ def discover_custom(spark: SparkSession, directory: str) -> DataFrame | None:
     parts = []
     for header, paths in groups.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        parts.append(read_csv(spark, paths, schema).select(*INGEST_COLUMNS, F.input_file_name().alias("_file")))
+        parts.append(read_csv(spark, paths, schema).select(*INGEST_COLUMNS, decoded_path(F.input_file_name()).alias("_file")))
     if not parts:
         return None
     return custom_rows(reduce(DataFrame.unionByName, parts))

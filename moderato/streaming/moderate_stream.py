@@ -53,13 +53,13 @@ def run_to_table(spark: SparkSession, stream: DataFrame, out_path: str | None =
 
 def flag_counts_per_batch(spark: SparkSession, moderated_stream: DataFrame, out_path: str | None = None,
                           checkpoint: str | None = None) -> str:
-    """``(batch_id, total, flagged_count)`` appended for every micro-batch."""
+    """``(total, flagged_count)`` of every micro-batch, under its own
+    ``batch_id=`` partition; a replayed batch overwrites its earlier row."""
     out_path = out_path or scratch_path(spark, "batch-counts")
     checkpoint = checkpoint or scratch_path(spark, "batch-counts-ckpt")
 
     def write(batch: DataFrame, batch_id: int):
-        batch_summary(batch).withColumn("batch_id", F.lit(batch_id).cast("long")) \
-            .select("batch_id", "total", "flagged_count").write.mode("append").parquet(out_path)
+        batch_summary(batch).select("total", "flagged_count").write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     q = (moderated_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

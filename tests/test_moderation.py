@@ -18,13 +18,22 @@ def _rows(df):
 
 
 def test_toxic_and_clean(spark):
-    m = _rows(moderate(_frame(spark, ["I will kill you, idiot.", "Thanks for the thoughtful review!", "hello"]), "text"))
+    m = _rows(moderate(_frame(spark, ["You stupid idiot, I could kill you", "The lecture on rivers was useful", "hello"]), "text"))
     assert m[0].is_toxic and "toxic" in m[0].flagged_labels and m[0].language == "en"
     assert not m[1].is_toxic and m[1].flagged_labels == []
     assert m[2].language == "en"
     assert set(m[0].thresholds_used) == set(LABELS)
 
 
+def test_language_of_each_row(spark):
+    df = spark.createDataFrame([(1, "iwe benzi shamwari", "auto"), (2, "a quiet evening", "auto"), (3, "a quiet evening", None),
+                                (4, "shamwari", "sn"), (5, None, None)], "id int, text string, lang string")
+    kinds = [dict(), dict(en_scorer=PandasScorer(marker_predictor(), "marker-en"))]
+    out = [_rows(moderate(df, "text", language=F.col("lang"), **k)) for k in kinds]
+    for m in out:
+        assert {i: m[i].language for i in m} == {1: "sn", 2: "en", 3: "en", 4: "sn", 5: "en"}
+
+
 def test_blank_never_flags_even_at_zero(spark):
     m = _rows(moderate(_frame(spark, ["", "   ", None, "idiot"]), "text", global_threshold=0.0))
     for i in (0, 1, 2):

@@ -83,8 +83,11 @@ def test_custom_discovery(spark, tmp_dir):
     _write(os.path.join(d, "custom_cols.csv"), "z,1\n", header="text,is_toxic\n")   # lacks columns: skipped
     _write(os.path.join(d, "custom_shona_template.csv"), "t,toxic,threat,3,l\n")    # template <= 15 rows: skipped
     _write(os.path.join(d, "train.csv"), "w,toxic,threat,3,l\n")                    # reserved name
+    _write(os.path.join(d, "custom_suffix.csv"), "v1,toxic,threat,2f,l\n")         # not a plain number: skipped
+    _write(os.path.join(d, "my data.csv"), "u1,toxic,threat,99999999999,l\n")      # beyond INT: kept
     out = src.discover_custom(spark, d).collect()
-    assert sorted((r.comment_text_sn, r.source) for r in out) == [("x1", "custom_custom_a"), ("x2", "custom_custom_a")]
+    assert sorted((r.comment_text_sn, r.source) for r in out) == [
+        ("u1", "custom_my data"), ("x1", "custom_custom_a"), ("x2", "custom_custom_a")]
     x1 = [r for r in out if r.comment_text_sn == "x1"][0]
     assert (x1.toxic, x1.threat, x1.severe_toxic, x1.insult) == (1, 1, 1, 0)
 
