@@ -550,11 +550,10 @@ def q_encoded(spark, sf_dir):
 @query("doc_freq")
 def q_doc_freq(spark, sf_dir):
     """Document frequency with the min_df cut, both blocks."""
-    d = fe.by_document(_docs(spark, sf_dir), "doc_id", "text")
+    d = _docs(spark, sf_dir).select("doc_id", "text")
     parts = []
     for a in ("word", "char"):
-        tf = fe.term_counts(d, "doc_id", "text", a)
-        parts.append(fe.document_frequency(tf, "doc_id", fe.ANALYZERS[a]).select(F.lit(a).alias("block"), "term", "df"))
+        parts.append(fe.document_frequency(d, "text", a).select(F.lit(a).alias("block"), "term", "df"))
     return parts[0].unionByName(parts[1])
 
 
@@ -579,8 +578,7 @@ def q_tfidf_char(spark, sf_dir):
 def q_tfidf_union(spark, sf_dir):
     """V5: the union vocabulary with dense feature indices and idf."""
     d = _docs(spark, sf_dir)
-    docs = fe.by_document(d, "doc_id", "text")
-    models = [fe.fit_tfidf(d, "doc_id", "text", a, docs=docs) for a in ("word", "char")]
+    models = [fe.fit_tfidf(d, "doc_id", "text", a) for a in ("word", "char")]
     return fe.feature_index(models).withColumn("idf", _r(F.col("idf")))
 
 
