@@ -196,6 +196,52 @@ def test_decontamination(spark):
     assert decontaminate.contamination_report(_frame(spark, []), bench).count() == 0
 
 
+def _plain_similarity(text, item, weight, k=5):
+    """The best window of an item's size that a shared shingle aligns, by plain loops."""
+    w, v = text.split(), item.split()
+    grams = [tuple(v[i:i + k]) for i in range(len(v) - k + 1)]
+    starts = {max(p - q, 0) for p in range(len(w) - k + 1) for q, g in enumerate(grams) if tuple(w[p:p + k]) == g}
+    held = lambda a: {tuple(w[i:i + k]) for i in range(a, min(a + len(v), len(w)) - k + 1)} & set(grams)
+    return max((sum(weight[g] for g in held(a)) / sum(weight[g] for g in set(grams)) for a in starts), default=0.0)
+
+
+def _matches_plain(spark, items, texts):
+    shared = {}
+    for i, t in items:
+        w = t.split()
+        for g in {tuple(w[j:j + 5]) for j in range(len(w) - 4)}:
+            shared.setdefault(g, set()).add(i)
+    weight = {g: 1 / len(s) for g, s in shared.items()}
+    want = {(d, i): s for d, t in texts for i, x in items if (s := _plain_similarity(t, x, weight)) >= 0.8 - 1e-9}
+    got = decontaminate.contaminated(_frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.id, r.item): round(r.similarity, 6) for r in got} == {x: round(s, 6) for x, s in want.items()}
+    return want
+
+
+def test_decontamination_finds_partial_quotes(spark):
+    rng = random.Random(16)
+    items, texts = [(i, _text(rng, rng.randrange(15, 60))) for i in range(30)], []
+    for i, t in items:
+        w = t.split()
+        for share in (0.7, 0.8, 0.85, 0.9, 0.95):
+            n = round(share * len(w))
+            texts.append(f"{_text(rng, 9)} {' '.join(w[:n])} {_text(rng, len(w))}")                 # last words cut off
+            texts.append(f"{_text(rng, 9)} {' '.join(w[len(w) - n:])}")                             # first words cut off
+            a = rng.randrange(1, n)
+            texts.append(f"{' '.join(w[:a])} {_text(rng, len(w) - n)} {' '.join(w[a + len(w) - n:])} {_text(rng, 30)}")     # spliced
+        texts.append(f"{_text(rng, 5)} {_edited(rng, t, 1)} {_text(rng, 20)}")
+    want = _matches_plain(spark, items, list(enumerate(texts)))
+    assert sum(s < 0.95 for s in want.values()) > 50
+
+
+def test_decontamination_counts_each_window_once(spark):
+    rng = random.Random(17)
+    head, long_end, short_end = _text(rng, 24), _text(rng, 16), _text(rng, 8)
+    items = [(0, f"{head} {long_end}"), (1, f"{head} {short_end}")]
+    texts = [(0, f"{head} {_text(rng, 40)}"), (1, f"{head} {long_end}"), (2, f"{_text(rng, 3)} {head} {short_end} {_text(rng, 9)}")]
+    _matches_plain(spark, items, texts)
+
+
 def test_hamming_blocks_find_all_within_radius(spark):
     rng = random.Random(2)
     pairs = []
