@@ -242,6 +242,15 @@ def test_decontamination_counts_each_window_once(spark):
     _matches_plain(spark, items, texts)
 
 
+def test_decontamination_weighs_a_common_template(spark):
+    rng = random.Random(18)
+    template = _text(rng, 30)
+    own = [_text(rng, 30) for _ in range(100)]
+    items = [(i, f"{template} {t}") for i, t in enumerate(own)]
+    texts = [(i, f"{_text(rng, 40)} {t} {_text(rng, 25)}") for i, t in enumerate(own[:20])] + [(100, f"{_text(rng, 8)} {template} {_text(rng, 40)}")]
+    assert set(_matches_plain(spark, items, texts)) == {(i, i) for i in range(20)}
+
+
 def test_hamming_blocks_find_all_within_radius(spark):
     rng = random.Random(2)
     pairs = []
