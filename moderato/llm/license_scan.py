@@ -5,11 +5,14 @@ lower-cased.  One automaton finds every phrase in one pass over the words, where
 starts: the base phrases, names of licences, and the anchors after which an
 expression stands (``SPDX-License-Identifier:``, "licensed under",
 "released under").  An anchor's expression is read from the text
-that follows it on its line: names and identifiers are operands, ``and``, ``or`` and
-``with`` operators, and a shunting-yard parser brings them into postfix order and
+that follows it on its line, and over line ends while it ends in an operator or has an open
+bracket: names and identifiers (those of the SPDX list 3.27.0 too, ``spdx_ids.txt``) are operands, ``and``,
+``or`` and ``with`` operators, and a shunting-yard parser brings them into postfix order and
 evaluates them.  An operand is the set of its labels and a grade
 of restriction; ``and`` takes the stricter grade, ``or`` the milder, ``with`` an exception
-lowers its left side by one grade; labels always add up.
+lowers its left side by one grade; labels always add up.  After an identifier tag any
+identifier is an operand; one without a grade here is its own label and "unknown", stricter than all
+grades.  Operators in small letters join listed identifiers only there, since prose may follow.
 
 ``labels`` holds the base labels of all base places and those of all
 licences found (outside of expressions only names of several words, since single ones
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,8 @@ from moderato.llm.textbytes import utf8
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 #: Restriction, mildest first.
-GRADES = ("public domain", "permissive", "weak copyleft", "copyleft", "non-commercial", "reserved")
+GRADES = ("public domain", "permissive", "weak copyleft", "copyleft", "non-commercial", "reserved", "unknown")
+UNKNOWN = len(GRADES) - 1
 
 #: Names and identifiers as words, their label and grade.
 LICENCES = {
@@ -70,7 +75,11 @@ FILLERS = {"the", "terms", "of", "either", "a", "an", "license", "licence", "ver
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[()]")
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[()\n]")
+_ID = re.compile(rb"[0-9A-Za-z][0-9A-Za-z.\-]*(?::[0-9A-Za-z][0-9A-Za-z.\-]*)?\+?|[()]")
+_LEAD = re.compile(rb"[^0-9A-Za-z\x80-\xff(\n]*")
+_BLANKS = re.compile(rb"[ \t\r]*")
+_NEXT_LINE = re.compile(rb"[ \t\r]*(?:\n[^0-9A-Za-z\x80-\xff()\n]*)?")      # with the marks of a comment
 
 
 @functools.cache
@@ -83,37 +92,113 @@ def _automaton():
     return a
 
 
+@functools.cache
+def _listed() -> dict[str, str]:
+    """The SPDX identifiers as words."""
+    ids = (Path(__file__).parent / "spdx_ids.txt").read_text().lower().split()
+    return {" ".join(re.findall("[0-9a-z]+", i)): i for i in ids}
+
+
+@functools.cache
+def _grades() -> dict[str, int]:
+    return dict(LICENCES.values())
+
+
 @functools.cache
 def _names() -> dict[str, list[tuple[str, ...]]]:
     """By first word the names and exceptions that start with it, longest first."""
     out: dict[str, list[tuple[str, ...]]] = {}
-    for p in sorted([*LICENCES, *EXCEPTIONS], key=lambda p: -len(p.split())):
+    for p in sorted({*LICENCES, *EXCEPTIONS, *(p for p in _listed() if " " in p and " with " not in p)}, key=lambda p: (-len(p.split()), p)):
         out.setdefault(p.split()[0], []).append(tuple(p.split()))
     return out
 
 
-def operands(text: bytes) -> list[str]:
-    """Names, operators and brackets of the expression that ``text`` starts with."""
-    words = [w.lower().decode("utf-8", "replace") for w in _WORD.findall(text)]
-    out, i, depth = [], 0, 0
-    while i < len(words):
-        w = words[i]
+def _known(name: str) -> str:
+    """A name without "only" or "or later" where that is in the tables."""
+    short = re.sub(" (only|or later)$", "", name)
+    return short if short in LICENCES else name
+
+
+def _closed(out: list[str], depth: int) -> list[str]:
+    while out and (out[-1] in PRECEDENCE or out[-1] == "("):
+        depth -= out.pop() == "("
+    return out + [")"] * depth
+
+
+def operands(text: bytes, at: int = 0) -> list[str]:
+    """Names, operators and brackets of the expression that starts at ``at``."""
+    out, depth, held = [], 0, []
+    found = _WORD.finditer(text, at)
+
+    def ahead(n):
+        """The next n words; line ends inside a name end it."""
+        while len(held) < n and (m := next(found, None)):
+            held.append(m[0].lower().decode("utf-8", "replace"))
+        return held[:n]
+    last = ""
+    while ahead(1):
+        w = held[0]
         operand_next = not out or out[-1] in PRECEDENCE or out[-1] == "("
-        name = next((n for n in _names().get(w, ()) if tuple(words[i:i + len(n)]) == n), None)
-        if w == "(" and operand_next or w == ")" and depth and not operand_next:
+        name = operand_next and next((n for n in _names().get(w, ()) if tuple(ahead(len(n))) == n), None)
+        if w == "\n":
+            if not (out and (last in PRECEDENCE or last == "(" or depth)):
+                break
+            w = last
+        elif w == "(" and operand_next or w == ")" and depth and not operand_next:
             depth += 1 if w == "(" else -1
             out.append(w)
-        elif name and operand_next:
-            out.append(" ".join(name))
-            i += len(name) - 1
+        elif name:
+            out.append(_known(" ".join(name)))
+            del held[:len(name) - 1]
         elif w in PRECEDENCE and not operand_next:
             out.append(w)
         elif w not in FILLERS:
             break
-        i += 1
-    while out and (out[-1] in PRECEDENCE or out[-1] == "("):
-        depth -= out.pop() == "("
-    return out + [")"] * depth
+        last = w
+        del held[0]
+    return _closed(out, depth)
+
+
+def tag_operands(text: bytes, at: int = 0) -> list[str]:
+    """The same after an identifier tag, where any identifier is an operand."""
+    out, depth, at = [], 0, _LEAD.match(text, at).end()
+    loose = False               # after an operator in small letters
+    while m := _ID.match(text, at):
+        raw = m[0].rstrip(b".").decode()
+        w, ends = raw.lower(), m[0].endswith(b".")
+        operand_next = not out or out[-1] in PRECEDENCE or out[-1] == "("
+        if w in "()":
+            if (w == "(") != operand_next or w == ")" and not depth:
+                break
+            depth += 1 if w == "(" else -1
+            out.append(w)
+        elif operand_next:
+            name = " ".join(re.findall("[0-9a-z]+", w))
+            known = _known(name)
+            if loose and not (known in LICENCES or known in EXCEPTIONS or name in _listed() or "licenseref-" in w):
+                break
+            out.append(known if known in LICENCES or known in EXCEPTIONS else w)
+        elif w in PRECEDENCE:
+            out.append(w)
+        else:
+            break
+        if w not in "()":
+            loose = w in PRECEDENCE and raw.islower()
+        if ends:
+            break
+        more = out[-1] in PRECEDENCE or out[-1] == "(" or depth
+        at = (_NEXT_LINE if more else _BLANKS).match(text, m.end()).end()
+    return _closed(out, depth)
+
+
+def _label(t: str) -> tuple[str, int, bool]:
+    """Label and grade of an operand, and whether it is an exception with a known effect."""
+    if t in EXCEPTIONS:
+        return EXCEPTIONS[t], 1, True
+    if t in LICENCES:
+        return *LICENCES[t], False
+    label = _listed().get(t, t)
+    return label, _grades().get(label, UNKNOWN), False
 
 
 def postfix(tokens: list[str]) -> list[str]:
@@ -137,17 +222,19 @@ def postfix(tokens: list[str]) -> list[str]:
 
 def evaluate(tokens: list[str]) -> tuple[set[str], int] | None:
     """Labels and grade of an expression; None if there is none."""
-    held: list[tuple[set[str], int]] = []
+    held: list[tuple[set[str], int, bool]] = []
     for t in postfix(tokens):
         if t in PRECEDENCE:
             right, left = held.pop(), held.pop()
-            grade = {"or": min, "and": max}[t](left[1], right[1]) if t != "with" else max(1, left[1] - 1)
-            held.append((left[0] | right[0], grade))
-        elif t in EXCEPTIONS:
-            held.append(({EXCEPTIONS[t]}, 1))
+            if t == "with":     # what an exception that isn't known permits isn't known either
+                grade = max(1, left[1] - 1) if right[2] and left[1] != UNKNOWN else left[1]
+            else:
+                grade = {"or": min, "and": max}[t](left[1], right[1])
+            held.append((left[0] | right[0], grade, False))
         else:
-            held.append(({LICENCES[t][0]}, LICENCES[t][1]))
-    return held[0] if held else None
+            label, grade, exception = _label(t)
+            held.append(({label}, grade, exception))
+    return held[0][:2] if held else None
 
 
 def scan(text: bytes) -> dict:
@@ -164,13 +251,12 @@ def scan(text: bytes) -> dict:
         if phrase in LICENCES and " " in phrase and phrase != "all rights reserved":
             named[start] = phrase                   # ends go up, so the longest from a place stays
         if phrase in ANCHORS:
-            expressions.append(line.count(" ", 0, start) + len(phrase.split()))
+            expressions.append((line.count(" ", 0, start) + len(phrase.split()), phrase == ANCHORS[0]))
     labels, evaluated = set(base_labels) | {LICENCES[p][0] for p in named.values()}, []
     if expressions:
         at = [m.end() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", text)]
-        for k in expressions:
-            rest = text[at[k - 1]:].split(b"\n", 1)[0] if k else b""
-            tokens = operands(rest)
+        for k, tag in expressions:
+            tokens = (tag_operands if tag else operands)(text, at[k - 1])
             best = evaluate(tokens) if tokens else None
             if best:
                 evaluated.append(" ".join(tokens))

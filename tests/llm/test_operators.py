@@ -403,6 +403,25 @@ def test_licences(spark):
     assert license_scan.scan_licences(_frame(spark, [])).count() == 0
 
 
+def test_licence_expressions_are_read_whole():
+    def got(text):
+        r = license_scan.scan(text.encode())
+        return r["labels"], r["terms"]
+    tag = "SPDX-License-Identifier: "
+    assert got(tag + "MIT AND Artistic-2.0") == ("artistic-2.0,mit", "unknown")
+    assert got(tag + "SSPL-1.0 OR MIT") == ("mit,sspl-1.0", "permissive")
+    assert got(tag + "LicenseRef-X AND GPL-3.0") == ("gpl-3.0,licenseref-x", "unknown")
+    assert got(tag + "GPL-2.0-or-later AND MIT") == ("gpl-2.0,mit", "copyleft")
+    assert got(tag + "BSL-1.0") == ("bsl-1.0", "permissive") and got(tag + "Artistic-2.0 WITH LLVM-exception")[1] == "unknown"
+    assert got(tag + "GPL-2.0 WITH Foo-exception") == ("foo-exception,gpl-2.0", "copyleft")
+    assert got(f"/* {tag}(MIT OR\n *   Artistic-2.0) AND\n *   GPL-3.0-only */") == ("artistic-2.0,gpl-3.0,mit", "copyleft")
+    assert got(f"# {tag}MIT\n# AND Zlib") == ("mit", "permissive") and got(tag + "MIT and more. GPL") == ("mit", "permissive")
+    assert got(tag + "MIT. And so on") == ("mit", "permissive") and got(tag + "\nMIT")[0] == "" and got(tag + "MIT and GPL-3.0") == ("gpl-3.0,mit", "copyleft")
+    assert got("Licensed under the MIT License or\n# the Apache License, Version 2.0") == ("apache-2.0,mit", "permissive")
+    assert got("licensed under MIT and Artistic-2.0") == ("artistic-2.0,mit", "unknown")
+    assert got("licensed under GPL 2.0 or later\nMIT is a school")[0] == "gpl-2.0"
+
+
 def _check_packing(rows, seq_len):
     by = {}
     for r in rows:
