@@ -12,6 +12,7 @@ from moderato.llm.license_scan import op8_license_scan
 from moderato.llm.ngram_join import op10_ngram_jaccard_join
 from moderato.llm.packing import op9_best_fit_packing
 from moderato.llm.pii import op5_personal_data
+from moderato.llm.secret_scan import op13_secret_scan
 from moderato.llm.substring_dedup import op6_substring_dedup
 from moderato.llm.suffix_dedup import op1_suffix_array_dedup
 from moderato.llm.warc import OP7_SQL, op7_warc
@@ -19,7 +20,7 @@ from moderato.llm.warc import OP7_SQL, op7_warc
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_hd_language_id, op3_benchmark_decontamination, op4_embedding_near_dedup,
     op5_personal_data, op6_substring_dedup, op7_warc, op8_license_scan, op9_best_fit_packing, op10_ngram_jaccard_join,
-    op11_conversation_repair, op12_source_divergence,
+    op11_conversation_repair, op12_source_divergence, op13_secret_scan,
 )}
 
 ORACLES = {"op4_embedding_near_dedup": OP4_SQL, "op7_warc": OP7_SQL, "op11_conversation_repair": OP11_SQL,
