@@ -24,22 +24,27 @@ def language_mix(df: DataFrame, text_col: str = "text", by: list[str] | None = N
     return with_language(df, text_col).groupBy(*(by or []), "language").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lexicon_hits(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                 lexicon: DataFrame | None = None) -> DataFrame:
+def lexicon_hits(df: DataFrame, text_col: str = "text", lexicon: DataFrame | None = None) -> DataFrame:
     """J4 as a join: every token against a lexicon table ``(term, kind)``.
 
     The lexicon side is broadcast only when it is the bounded built-in table
     (a few hundred rows) or when the caller passes one; Spark's own size
     check (autoBroadcastJoinThreshold) still decides for a caller's table.
-    Output: ``kind, term, hits, docs`` (partial aggregation before the
-    shuffle, so a hot term costs one row per task)."""
+    Output: ``kind, term, hits, docs``.  A row's own occurrences of a term are counted first, without a shuffle, so
+    hits and documents are plain sums: partial aggregation leaves one row
+    per task for a hot term."""
     builtin = lexicon is None
     lex = (lexicon if lexicon is not None else lexicon_table(df.sparkSession)).select("term", "kind").distinct()
-    toks = df.select(F.col(id_col).alias("_id"), F.explode_outer(tokens(F.col(text_col))).alias("term")) \
-        .filter(F.col("term").isNotNull())
-    j = toks.join(F.broadcast(lex) if builtin else lex, "term")
-    return j.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("hits"),
-                                         F.countDistinct("_id").alias("docs"))
+    toks = df.select(tokens(F.col(text_col)).alias("_t"))
+    # The sorted tokens of a row: a run of equal ones is one term, as long as it occurs.
+    runs = toks.select(F.array_sort("_t").alias("_s")).select("_s", F.filter(
+        F.sequence(F.lit(0), F.size("_s")), lambda i: (i == 0) | (i == F.size("_s")) | (F.get("_s", i) != F.get("_s", i - 1))).alias("_at"))
+    bounds = F.arrays_zip(F.slice("_at", 1, F.size("_at") - 1).alias("lo"), F.slice("_at", 2, F.size("_at") - 1).alias("hi"))
+    each = runs.select(F.explode_outer(F.transform(bounds, lambda r: F.struct(
+        F.get("_s", r["lo"]).alias("term"), (r["hi"] - r["lo"]).alias("n")))).alias("_r"))
+    counted = each.select("_r.term", "_r.n").filter(F.col("term").isNotNull())
+    j = counted.join(F.broadcast(lex) if builtin else lex, "term")
+    return j.groupBy("kind", "term").agg(F.sum("n").cast("long").alias("hits"), F.count(F.lit(1)).alias("docs"))
 
 
 def split_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",

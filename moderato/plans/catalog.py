@@ -4,6 +4,8 @@ the data.  Column names match the DuckDB oracles in ``oracles``."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,8 +91,8 @@ def q_truncate_text(spark, sf_dir):
 
 @query("scoreable")
 def q_scoreable(spark, sf_dir):
-    """P2 over documents and conversation turns."""
-    d = _docs(spark, sf_dir).select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text")
+    """P2 over mixed lines (blank and NULL ones among them) and conversation turns."""
+    d = fx.mixed(spark, sf_dir).select(F.lit("line").alias("kind"), "id", "text")
     c = fx.table(spark, sf_dir, "conversations").select(
         F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return d.unionByName(c).select("kind", "id", is_scoreable("text").alias("scoreable"))
@@ -110,24 +112,22 @@ def q_language_mix(spark, sf_dir):
 
 @query("lexicon_hits")
 def q_lexicon_hits(spark, sf_dir):
-    """Tokens joined to the lexicon table."""
-    return text_ops.lexicon_hits(_docs(spark, sf_dir))
+    """Tokens of mixed lines joined to the lexicon table."""
+    return text_ops.lexicon_hits(fx.mixed(spark, sf_dir))
 
 
 @query("lexical_floors")
 def q_lexical_floors(spark, sf_dir):
-    """A19 + F5: per-label max floor over each document's tokens."""
-    d = _docs(spark, sf_dir).withColumn("_t", tokens("text"))
+    """A19 + F5: per-label max floor over each mixed line's tokens."""
+    d = fx.mixed(spark, sf_dir).withColumn("_t", tokens("text"))
     fl = slur_floors(F.col("_t"))
-    return d.select("doc_id", *[_r(fl[l]).alias(f"f_{l}") for l in LABELS])
+    return d.select("id", *[_r(fl[l]).alias(f"f_{l}") for l in LABELS])
 
 
 @query("benign_cap")
 def q_benign_cap(spark, sf_dir):
-    """F4 / F5 on fixture base scores: whitelist cap, else lexical floors."""
-    d = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    d = fx.spread(d).withColumn("_t", tokens("text"))
+    """F4 / F5 on fixture base scores of mixed lines: whitelist cap, else lexical floors."""
+    d = fx.mixed(spark, sf_dir).withColumn("_t", tokens("text"))
     adj = shona_adjust(fx.fixture_scores(F.col("id")), F.col("_t"))
     return d.select("id", benign_whitelisted(F.col("_t")).alias("whitelisted"),
                     *[_r(adj[l]).alias(f"s_{l}") for l in LABELS])
@@ -204,15 +204,18 @@ def q_resolve_thresholds(spark, sf_dir):
 
 @query("request_reject")
 def q_request_reject(spark, sf_dir):
-    """P5: documents as single requests (language = their lang), conversations
-    as batch requests (one per conv_id)."""
-    single = rq.validate_single(_docs(spark, sf_dir).withColumnRenamed("lang", "language"), "text", "language")
-    single = single.select(F.lit("single").alias("kind"), F.col("doc_id").alias("id"),
-                           F.length("text").cast("bigint").alias("n"), "valid", "reason")
-    batch = rq.validate_batches(fx.table(spark, sf_dir, "conversations"), "conv_id", language="auto")
-    batch = batch.select(F.lit("batch").alias("kind"), F.col("conv_id").alias("id"),
-                         F.col("n_items").alias("n"), "valid", "reason")
-    return single.unionByName(batch)
+    """P5: documents and mixed lines as single requests (language = their lang), mixed lines
+    as batch requests (one per document) and conversations (one per conv_id)."""
+    cols = ["kind", "id", "n", "valid", "reason"]
+    texts = _docs(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"))
+    lines = fx.mixed(spark, sf_dir)
+    texts = texts.unionByName(lines.select(F.lit("line").alias("kind"), "id", "text", F.col("lang").alias("language")))
+    single = rq.validate_single(texts, "text", "language").withColumn("n", F.length("text").cast("bigint"))
+    pasted = rq.validate_batches(lines.withColumn("doc_id", F.floor(F.col("id") / 1000000)), "doc_id", language="en")
+    turns = rq.validate_batches(fx.table(spark, sf_dir, "conversations"), "conv_id", language="xx")
+    batches = [b.select(F.lit(k).alias("kind"), F.col(c).alias("id"), F.col("n_items").alias("n"), "valid", "reason")
+               for b, k, c in ((pasted, "pasted", "doc_id"), (turns, "turns", "conv_id"))]
+    return single.select(*cols).unionByName(batches[0]).unionByName(batches[1])
 
 
 @query("split_lines")
@@ -230,10 +233,10 @@ def q_moderate_en(spark, sf_dir):
 
 @query("moderate_sn")
 def q_moderate_sn(spark, sf_dir):
-    """Shona scoring with zero base scores: whitelist / floors only."""
-    m = moderate(_docs(spark, sf_dir), "text", language="sn",
+    """Shona scoring of mixed lines with zero base scores: whitelist / floors only."""
+    m = moderate(fx.mixed(spark, sf_dir), "text", language="sn",
                  sn_scorer=ShonaScorer(ConstantScorer(0.0, name="zero-sn")))
-    return moderated_view(m, "doc_id")
+    return moderated_view(m, "id")
 
 
 @query("score_batch")
@@ -249,25 +252,34 @@ def q_score_batch(spark, sf_dir):
 from moderato.operators import sampling as smp  # noqa: E402
 from moderato.operators import validate as val  # noqa: E402
 from moderato.plans import dataset as ds  # noqa: E402
-from moderato.session import scratch_path  # noqa: E402
+from moderato.session import scratch_path, staged  # noqa: E402
 from moderato.sources import csv as src  # noqa: E402
+from moderato.sources import reports as rp  # noqa: E402
+
+
+def _validation_inputs(spark, sf_dir):
+    """The annotated rows as they are, with values that break rules, and with severities that are no numbers."""
+    clean = fx.annotated(spark, sf_dir).select(
+        "doc_id", "text", "label", "category", F.col("severity").cast("string").alias("severity"), F.col("source").alias("source_lemma"))
+    return {"clean": clean, "broken": fx.raw_annotated(spark, sf_dir), "not_numeric": fx.raw_annotated(spark, sf_dir, numeric=False)}
 
 
-def _validation_input(spark, sf_dir):
-    return fx.annotated(spark, sf_dir).select(
-        "doc_id", "text", "label", "category", "severity", F.col("source").alias("source_lemma"))
+def _union(parts):
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("validate_rows")
 def q_validate_rows(spark, sf_dir):
-    """A3-A7 in one wide aggregate plus duplicate and offending-value groups."""
-    return val.validate_rows(_validation_input(spark, sf_dir), order_col="doc_id")
+    """A3-A7, one scan a table."""
+    return _union([val.validate_rows(df, order_col="doc_id").withColumn("input", F.lit(name))
+                   for name, df in _validation_inputs(spark, sf_dir).items()])
 
 
 @query("validate_verdict")
 def q_validate_verdict(spark, sf_dir):
     """A8 over the checks."""
-    return val.validate_verdict(val.validate_rows(_validation_input(spark, sf_dir), order_col="doc_id"))
+    return _union([val.validate_verdict(val.validate_rows(df, order_col="doc_id")).withColumn("input", F.lit(name))
+                   for name, df in _validation_inputs(spark, sf_dir).items()])
 
 
 @query("duplicate_text")
@@ -302,15 +314,10 @@ def q_native_rows(spark, sf_dir):
     return n.select("doc_id", *ds.TRAINING_COLS)
 
 
-def _custom_input(spark, sf_dir):
-    a = fx.annotated(spark, sf_dir)
-    return a.withColumn("_file", F.concat(F.lit("/data/native/"), F.col("source"), F.lit(".csv")))
-
-
 @query("custom_sources")
 def q_custom_sources(spark, sf_dir):
-    """S3 per-file rules; each ``source`` value plays one custom CSV file."""
-    return src.custom_rows(_custom_input(spark, sf_dir)).select("doc_id", *LABELS, "source")
+    """S3 per-file rules over files of every kind: reserved, template, bad severity, kept."""
+    return src.custom_rows(fx.filed(spark, sf_dir)).select("doc_id", *LABELS, "source")
 
 
 # ------------------------------------------------------------ sampling & splits
@@ -322,16 +329,16 @@ def q_shuffled(spark, sf_dir):
 
 @query("sample_n")
 def q_sample_n(spark, sf_dir):
-    """500 rows (the reference's default benchmark sample) of the scored rows."""
-    t = fx.comment_table(spark, sf_dir).filter(scored_row())
-    return smp.sample_n(t.select("doc_id", *LABELS), 500, "doc_id")
+    """500 rows (the reference's default benchmark sample) of the scored lines."""
+    t = fx.drawn(spark, sf_dir).filter(scored_row())
+    return smp.sample_n(t.select("id", *LABELS), 500, "id")
 
 
 @query("stratified_sample")
 def q_stratified_sample(spark, sf_dir):
-    """M1 with the reference's default train target (3000) on scored rows."""
-    t = fx.comment_table(spark, sf_dir).filter(scored_row()).select("doc_id", *LABELS)
-    return smp.stratified_sample(t, 3000, "doc_id")
+    """M1 with the reference's default train target (3000) on scored lines."""
+    t = fx.drawn(spark, sf_dir).filter(scored_row()).select("id", *LABELS)
+    return smp.stratified_sample(t, 3000, "id")
 
 
 @query("split_assign")
@@ -347,49 +354,49 @@ def q_cv_folds(spark, sf_dir):
     return smp.cv_folds(t, "doc_id")
 
 
-def _silver(spark, sf_dir, target=500):
-    t = fx.comment_table(spark, sf_dir)
-    return ds.silver_split(t, target, "doc_id", drop_unscored=True)
-
-
 @query("silver_split")
 def q_silver_split(spark, sf_dir):
-    """M3 (test mode): P1 -> M1 -> P6 -> identity translator in batches of 16."""
-    return _silver(spark, sf_dir).select("doc_id", *ds.TRAINING_COLS)
+    """M3 for the three given splits at once: (test: P1) -> M1 -> P6 -> identity translator in batches of 16."""
+    out = ds.silver_splits(fx.drawn(spark, sf_dir), "id", "given")
+    return out.select("id", F.col("given").alias("split"), "pos", *ds.TRAINING_COLS)
+
+
+def _native_parts(spark, sf_dir):
+    """Native, clean conversational and custom rows, each split 80/10/10 (custom files pooled first)."""
+    conv = fx.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return ds.split_parts([ds.keyed(src.native_rows(fx.annotated(spark, sf_dir)), "native", "doc_id"),
+                           ds.keyed(ds.clean_rows(conv), "clean", "id"),
+                           ds.keyed(src.custom_rows(fx.filed(spark, sf_dir)), "custom", "doc_id")])
+
 
+def _silver_part(spark, sf_dir):
+    out = ds.silver_splits(fx.drawn(spark, sf_dir), "id", "given", {k: v for k, v in ds.SILVER_TARGETS.items() if k != "test"})
+    return ds.keyed(out.withColumn("split", F.col("given")), "silver", "id")
 
-def merged(spark, sf_dir):
-    """All four sources, each split 80/10/10 (custom files pooled first)."""
-    silver = ds.with_split(_silver(spark, sf_dir), "doc_id").withColumn(
-        "key", F.concat(F.lit("silver:"), F.col("doc_id").cast("string")))
-    native = ds.with_split(src.native_rows(fx.annotated(spark, sf_dir)), "doc_id").withColumn(
-        "key", F.concat(F.lit("native:"), F.col("doc_id").cast("string")))
-    conv = fx.table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    clean = ds.with_split(ds.clean_rows(conv), "id").withColumn(
-        "key", F.concat(F.lit("clean:"), F.col("id").cast("string")))
-    custom = ds.with_split(src.custom_rows(_custom_input(spark, sf_dir)), "doc_id").withColumn(
-        "key", F.concat(F.lit("custom:"), F.col("doc_id").cast("string")))
-    return ds.merge_sources([silver, native, clean, custom], keep=["split", "key"])
+
+def _merged(spark, sf_dir):
+    native = _native_parts(spark, sf_dir).filter("split <> 'test'")
+    return ds.merge_sources([_silver_part(spark, sf_dir), native])
 
 
 @query("merge_sources")
 def q_merge_sources(spark, sf_dir):
-    """Silver + native + clean + custom, per split, no dedup."""
-    return merged(spark, sf_dir)
+    """Silver + native + clean + custom rows of train and validation, in their seeded order, no dedup."""
+    return _merged(spark, sf_dir)
 
 
 @query("native_test")
 def q_native_test(spark, sf_dir):
-    """Native + clean + custom test rows, kept apart from the silver test."""
-    m = merged(spark, sf_dir)
-    return m.filter((F.col("split") == "test") & (F.col("source") != "mt_silver"))
+    """Native + clean + custom test rows; the silver test draw isn't even made."""
+    return ds.merge_sources([_native_parts(spark, sf_dir).filter("split = 'test'").withColumn("split", F.lit("native_test"))])
 
 
 @query("source_counts")
 def q_source_counts(spark, sf_dir):
-    """A1: rows and positives per (split, source) with rollup totals."""
-    m = merged(spark, sf_dir)
+    """A1: rows and positives per (split, source) with rollup totals, the native test among the splits."""
+    native = _native_parts(spark, sf_dir).withColumn("split", F.when(F.col("split") == "test", "native_test").otherwise(F.col("split")))
+    cols = ["split", "source", *LABELS]
+    m = _silver_part(spark, sf_dir).select(*cols).unionByName(native.select(*cols))
     return m.rollup("split", "source").agg(F.count(F.lit(1)).alias("n"),
                                            *[F.sum(l).cast("bigint").alias(l) for l in LABELS])
 
@@ -454,10 +461,17 @@ def q_roc_auc_overall(spark, sf_dir):
     return _round_all(r, ["macro_roc_auc", "micro_roc_auc"])
 
 
+def _drawn_eval(spark, sf_dir):
+    """Scored lines with truth and model A probabilities."""
+    t = fx.drawn(spark, sf_dir).filter(scored_row())
+    a = fx.fixture_scores(F.col("id"))
+    return t.select("id", *LABELS, *[a[l].alias(f"pa_{l}") for l in LABELS])
+
+
 @query("benchmark_eval")
 def q_benchmark_eval(spark, sf_dir):
     """U8: P1 -> 500-row seeded sample -> model A -> uniform 0.5 -> A9-A16."""
-    s = smp.sample_n(eval_frame(spark, sf_dir), 500, "doc_id")
+    s = staged(smp.sample_n(_drawn_eval(spark, sf_dir), 500, "id"), "benchmark-sample")
     om = ev.overall_metrics(s, _TRUTH, ev.threshold_preds(_PA)).select(
         F.col("n").alias("n_test"), "macro_f1", "micro_f1", "hamming_loss", "subset_accuracy")
     auc = ev.roc_auc_overall(s, _TRUTH, _PA)
@@ -474,9 +488,82 @@ def golden_frame(spark, sf_dir):
     a = fx.annotated(spark, sf_dir)
     labs = category_labels(F.col("category"), F.col("severity"), F.col("label") == "toxic")
     b = MarkerScorer().columns(F.col("text"), None)
+    known = F.col("category").isin("benign_conversational", "literal_or_metalinguistic")
     return a.select("doc_id", label_array(labs).alias("expected"),
-                    label_array(ev.threshold_preds(b)).alias("predicted"),
-                    F.col("category").isin("benign_conversational", "literal_or_metalinguistic").alias("known_limitation"))
+                    label_array(ev.threshold_preds(b)).alias("predicted"), known.alias("known_limitation"),
+                    F.when(known, F.concat(F.lit("documented for "), F.col("category"))).alias("limitation_note"))
+
+
+def golden_lines(spark, sf_dir):
+    """Drawn lines as golden examples with their mixed texts: markers give labels in excess, and three
+    in sixteen are known limitations, some of which pass."""
+    d, m = fx.drawn(spark, sf_dir).filter(scored_row()), fx.mixed(spark, sf_dir).select("id", "text")
+    b = MarkerScorer().columns(F.col("text"), None)
+    known = fx.digits_of("drawn", F.col("id"), 9) < 3
+    return d.join(m, "id").select(
+        "id", label_array({l: F.col(l) for l in LABELS}).alias("expected"), label_array(ev.threshold_preds(b)).alias("predicted"),
+        known.alias("known_limitation"), F.when(known, F.concat(F.lit("documented as "), F.col("id").cast("string"))).alias("limitation_note"))
+
+
+@query("golden_mismatches")
+def q_golden_mismatches(spark, sf_dir):
+    """U9 by example: labels missing and in excess, and known limitations that now pass."""
+    m = ev.golden_mismatches(golden_lines(spark, sf_dir), "id")
+    return m.select("id", "slice", "kind", "label", F.array_join("expected", ",").alias("expected"),
+                    F.array_join("predicted", ",").alias("predicted"), "limitation_note")
+
+
+@query("truth_join")
+def q_truth_join(spark, sf_dir):
+    """Truth (some ids absent, some twice) against predictions (others absent), joined; coverage, and
+    A9 over the matched ids."""
+    a = fx.annotated(spark, sf_dir)
+    labs = category_labels(F.col("category"), F.col("severity"), F.col("label") == "toxic")
+    truth = a.filter(F.col("doc_id") % 7 != 3).select("doc_id", *[labs[l].alias(l) for l in LABELS])
+    truth = truth.unionByName(truth.filter(F.col("doc_id") % 11 == 5))
+    sc = fx.fixture_scores(F.col("doc_id"))
+    pred = _docs(spark, sf_dir).filter(F.col("doc_id") % 5 != 2).select("doc_id", *[sc[l].alias(f"pa_{l}") for l in LABELS])
+    pred = pred.unionByName(pred.filter(F.col("doc_id") % 13 == 4))
+    j = ev.align(truth, pred, "doc_id")
+    cov = ev.coverage(j).select(F.lit("coverage").alias("part"), F.col("status").alias("name"), F.lit(None).cast("string").alias("label"), "n")
+    conf = ev.confusion(j.filter("status = 'matched'"), _TRUTH, ev.threshold_preds(_PA))
+    conf = conf.select(F.lit("confusion").alias("part"), "label", F.expr("stack(4, 'tp', tp, 'fp', fp, 'fn', fn, 'tn', tn) as (name, n)"))
+    return cov.unionByName(conf)
+
+
+#: Slices that a full report has; no table here gives the last two.
+SLICES = ["mt_silver", "native", "golden", "native_social", "custom_reviewed"]
+
+
+@query("slice_report")
+def q_slice_report(spark, sf_dir):
+    """A23 + S8: every expected slice, absent ones as skipped; the golden slice counts all its
+    examples and scores those that gate."""
+    d = _drawn_eval(spark, sf_dir)
+    a = eval_frame(spark, sf_dir).select(F.col("doc_id").alias("id"), *LABELS, *[f"pa_{l}" for l in LABELS])
+    known = fx.digits_of("drawn", F.col("id"), 9) < 3
+    rows = _union([d.withColumns({"slice": F.when(fx.digits_of("drawn", F.col("id"), 8) == 9, "golden").otherwise("mt_silver"), "_gates": ~known}),
+                   a.withColumns({"slice": F.lit("native"), "_gates": F.lit(True)})])
+    r = ev.slice_report(rows, _TRUTH, ev.threshold_preds(_PA), SLICES, scored=(F.col("slice") != "golden") | F.col("_gates"))
+    return _round_all(r, ["macro_f1", "micro_f1", "hamming_loss", "subset_accuracy"])
+
+
+@query("report_compare")
+def q_report_compare(spark, sf_dir):
+    """S7 + S5 + J6: model B's report, without one label, written as JSON to the shared folder, read
+    back with its declared schema and compared with model A."""
+    e = eval_frame(spark, sf_dir)
+    per = ev.label_metrics(ev.confusion(e, _TRUTH, ev.threshold_preds(_PB))).filter("label <> 'threat'")
+    prior = rp.build_report(per, ev.overall_metrics(e, _TRUTH, ev.threshold_preds(_PB)).withColumnRenamed("n", "n_test"))
+    path = scratch_path(spark, "prior-report")
+    rp.write_report(prior, path)
+    back = rp.read_report(spark, path)
+    new = rp.build_report(ev.label_metrics(ev.confusion(e, _TRUTH, ev.threshold_preds(_PA))),
+                          ev.overall_metrics(e, _TRUTH, ev.threshold_preds(_PA)).withColumnRenamed("n", "n_test"))
+    a, b = rp.report_long(new), rp.report_long(back).withColumnRenamed("value", "baseline")
+    out = a.join(b, ["label", "metric"], "left").filter(F.col("value").isNotNull())
+    return out.select("label", "metric", _r(F.col("value")).alias("value"), _r(F.col("baseline")).alias("baseline"),
+                      _r(F.col("value") - F.col("baseline")).alias("delta"))
 
 
 @query("golden_eval")

@@ -55,8 +55,11 @@ FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)"""
 _TRUNC = "replace(substr(coalesce(text, ''), 1, 400), chr(10), ' ')"
 ORACLES["truncate_text"] = f"SELECT doc_id, {S.strip(_TRUNC)} AS truncated FROM documents"
 
+_MIXED = S.mixed()
+_DRAWN = S.drawn()
+
 ORACLES["scoreable"] = f"""
-SELECT 'doc' AS kind, doc_id AS id, {S.scoreable('text')} AS scoreable FROM documents
+SELECT 'line' AS kind, id, {S.scoreable('text')} AS scoreable FROM {_MIXED}
 UNION ALL
 SELECT 'turn' AS kind, conv_id * 1000 + turn AS id, {S.scoreable('text')} AS scoreable FROM conversations"""
 
@@ -74,16 +77,16 @@ _LEX_ROWS = ", ".join(f"({S.q(t)}, {S.q(k)})" for t, k in dict.fromkeys(
     + [(w, "floor") for w in lx.SLUR_FLOORS]))
 ORACLES["lexicon_hits"] = f"""
 WITH lex(term, kind) AS (VALUES {_LEX_ROWS}),
-t AS (SELECT doc_id, unnest({S.tokens('text')}) AS term FROM documents)
-SELECT kind, t.term AS term, count(*) AS hits, count(DISTINCT doc_id) AS docs
+t AS (SELECT id, unnest({S.tokens('text')}) AS term FROM {_MIXED})
+SELECT kind, t.term AS term, count(*) AS hits, count(DISTINCT id) AS docs
 FROM t JOIN lex ON t.term = lex.term GROUP BY kind, t.term"""
 
 ORACLES["lexical_floors"] = f"""
-SELECT doc_id, {', '.join(f'round({S.floor(l, "toks")}, 6) AS f_{l}' for l in LABELS)}
-FROM (SELECT doc_id, {S.tokens('text')} AS toks FROM documents)"""
+SELECT id, {', '.join(f'round({S.floor(l, "toks")}, 6) AS f_{l}' for l in LABELS)}
+FROM (SELECT id, {S.tokens('text')} AS toks FROM {_MIXED})"""
 
 ORACLES["benign_cap"] = f"""
-WITH t AS (SELECT conv_id * 1000 + turn AS id, {S.tokens('text')} AS toks FROM conversations)
+WITH t AS (SELECT id, {S.tokens('text')} AS toks FROM {_MIXED})
 SELECT id, {S.whitelisted('toks')} AS whitelisted,
        {', '.join(f'round({S.shona_adjust(S.fixture_score(l, "id"), l, "toks")}, 6) AS s_{l}' for l in LABELS)}
 FROM t"""
@@ -133,19 +136,19 @@ def _thr_sql(l):
 
 ORACLES["resolve_thresholds"] = f"SELECT doc_id, {', '.join(f'{_thr_sql(l)} AS t_{l}' for l in LABELS)} FROM documents"
 
-ORACLES["request_reject"] = """
-SELECT 'single' AS kind, doc_id AS id, CAST(length(text) AS BIGINT) AS n,
-       reason IS NULL AS valid, reason
-FROM (SELECT doc_id, text,
-        CASE WHEN text IS NULL THEN 'missing_text' WHEN length(text) < 1 THEN 'empty_text'
+_REJECT = """CASE WHEN text IS NULL THEN 'missing_text' WHEN length(text) < 1 THEN 'empty_text'
              WHEN length(text) > 5000 THEN 'text_too_long'
-             WHEN NOT coalesce(lang IN ('en', 'sn', 'auto'), FALSE) THEN 'bad_language' END AS reason
-      FROM documents)
+             WHEN NOT coalesce(lang IN ('en', 'sn', 'auto'), FALSE) THEN 'bad_language' END AS reason"""
+ORACLES["request_reject"] = f"""
+SELECT kind, id, CAST(length(text) AS BIGINT) AS n, reason IS NULL AS valid, reason
+FROM (SELECT 'document' AS kind, doc_id AS id, text, {_REJECT} FROM documents
+      UNION ALL SELECT 'line' AS kind, id, text, {_REJECT} FROM {_MIXED})
+UNION ALL
+SELECT 'pasted' AS kind, id, n, reason IS NULL AS valid, reason
+FROM (SELECT id // 1000000 AS id, count(*) AS n, CASE WHEN count(*) > 100 THEN 'batch_too_large' END AS reason FROM {_MIXED} GROUP BY 1)
 UNION ALL
-SELECT 'batch' AS kind, conv_id AS id, n, reason IS NULL AS valid, reason
-FROM (SELECT conv_id, count(*) AS n,
-        CASE WHEN count(*) < 1 THEN 'empty_batch' WHEN count(*) > 100 THEN 'batch_too_large' END AS reason
-      FROM conversations GROUP BY conv_id)"""
+SELECT 'turns' AS kind, conv_id AS id, n, FALSE AS valid, CASE WHEN n > 100 THEN 'batch_too_large' ELSE 'bad_language' END AS reason
+FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)"""
 
 ORACLES["split_lines"] = f"""
 WITH b AS (
@@ -161,8 +164,8 @@ SELECT doc_id, language, model, {', '.join(f's_{l}' for l in LABELS)},
        array_to_string(fl_list, ',') AS flagged, len(fl_list) > 0 AS is_toxic
 FROM fl"""
 ORACLES["moderate_en"] = _moderated_sql("documents", "doc_id", language="en") + _MOD_SELECT
-ORACLES["moderate_sn"] = _moderated_sql("documents", "doc_id", language="sn", sn_base="zero",
-                                        sn_name="zero-sn") + _MOD_SELECT
+ORACLES["moderate_sn"] = _moderated_sql(_MIXED, "id", language="sn", sn_base="zero",
+                                        sn_name="zero-sn") + _MOD_SELECT.replace("doc_id", "id")
 _u = {l: 0.5 for l in LABELS}
 ORACLES["score_batch"] = f"""
 WITH b AS (SELECT doc_id, lower(coalesce(text, '')) AS low, {S.scoreable('text')} AS ok FROM documents),
@@ -172,7 +175,8 @@ SELECT doc_id, {', '.join(f's_{l}' for l in LABELS)}, array_to_string(fl, ',') A
 
 
 # ------------------------------------------------------------ validation & sources
-_VAL_IN = f"(SELECT doc_id, text, label, category, severity, source AS source_lemma FROM {S.ANNOTATED})"
+_VAL_INS = {"clean": f"(SELECT doc_id, text, label, category, severity::VARCHAR AS severity, source AS source_lemma FROM {S.ANNOTATED})",
+            "broken": S.raw_annotated(), "not_numeric": S.raw_annotated(numeric=False)}
 _SEVN = ("CASE WHEN isnan(TRY_CAST(CAST(severity AS VARCHAR) AS DOUBLE)) OR isinf(TRY_CAST(CAST(severity AS VARCHAR) AS DOUBLE))"
          " THEN NULL ELSE TRY_CAST(CAST(severity AS VARCHAR) AS DOUBLE) END")
 _CHECKS = [("rows", "info", "count(*)")]
@@ -210,13 +214,14 @@ SELECT 'duplicate_text', 'warning', CAST(sum(c) AS BIGINT), substr(arg_min(text,
 UNION ALL {bad_vals}"""
 
 
-ORACLES["validate_rows"] = _validate_sql(_VAL_IN)
-ORACLES["validate_verdict"] = f"""
+_VALIDATED = {name: _validate_sql(src) for name, src in _VAL_INS.items()}
+ORACLES["validate_rows"] = " UNION ALL ".join(f"SELECT *, '{name}' AS input FROM ({sql})" for name, sql in _VALIDATED.items())
+ORACLES["validate_verdict"] = " UNION ALL ".join(f"""
 SELECT CAST(coalesce(max(CASE WHEN rule = 'rows' THEN n END), 0) AS BIGINT) AS rows,
        count(*) FILTER (WHERE level = 'error' AND NOT suffix(rule, '_value')) AS n_errors,
        count(*) FILTER (WHERE level = 'warning') AS n_warnings,
-       NOT coalesce(bool_or(level = 'error' OR (rule = 'rows' AND n = 0)), FALSE) AS passed
-FROM ({ORACLES['validate_rows']})"""
+       NOT coalesce(bool_or(level = 'error' OR (rule = 'rows' AND n = 0)), FALSE) AS passed, '{name}' AS input
+FROM ({sql})""" for name, sql in _VALIDATED.items())
 
 ORACLES["duplicate_text"] = """
 WITH g AS (SELECT text, count(*) AS c, min(doc_id) AS o FROM documents GROUP BY text HAVING count(*) > 1)
@@ -234,8 +239,15 @@ _NL = S.category_labels_sql("category", "severity", "label = 'toxic'")
 _NATIVE = f"""(SELECT doc_id, '' AS comment_text_en, text AS comment_text_sn,
     {', '.join(f'{_NL[l]} AS {l}' for l in LABELS)}, 'native_lexicon' AS source FROM {S.ANNOTATED})"""
 ORACLES["native_rows"] = f"SELECT * FROM {_NATIVE}"
+_BASE_NAME = "regexp_extract(file, '([^/]+)$', 1)"
+_GOOD_FILES = f"""(SELECT file FROM (SELECT *, TRY_CAST(CASE WHEN regexp_full_match(severity, '\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*')
+        THEN severity END AS DOUBLE) AS sev FROM {S.FILED})
+   WHERE {_BASE_NAME} NOT IN ('clean_conversational.csv', 'full.csv', 'train.csv', 'test.csv', 'validation.csv')
+   GROUP BY file HAVING count(*) = count(sev) AND NOT ({_BASE_NAME} = 'custom_shona_template.csv' AND count(*) <= 15))"""
+_FL = S.category_labels_sql("category", "least(TRY_CAST(severity AS BIGINT), 2147483647)", "label = 'toxic'")
 _CUSTOM = f"""(SELECT doc_id, '' AS comment_text_en, text AS comment_text_sn,
-    {', '.join(f'{_NL[l]} AS {l}' for l in LABELS)}, 'custom_' || source AS source FROM {S.ANNOTATED})"""
+    {', '.join(f'{_FL[l]} AS {l}' for l in LABELS)}, 'custom_' || regexp_extract(file, '([^/]+)\\.csv$', 1) AS source
+  FROM {S.FILED} WHERE file IN (SELECT file FROM {_GOOD_FILES}))"""
 ORACLES["custom_sources"] = f"SELECT doc_id, {', '.join(LABELS)}, source FROM {_CUSTOM}"
 
 # ------------------------------------------------------------ sampling & splits
@@ -243,34 +255,35 @@ _KEY = "md5('42:' || CAST({id} AS VARCHAR))"
 _SCORED = f"(SELECT doc_id, {', '.join(LABELS)} FROM {S.comment_table()} WHERE {_scored_cond})"
 
 ORACLES["shuffled"] = f"SELECT doc_id, row_number() OVER (ORDER BY {_KEY.format(id='doc_id')}, doc_id) AS pos FROM documents"
-ORACLES["sample_n"] = f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {_KEY.format(id='doc_id')}, doc_id) AS pos
-FROM {_SCORED}) WHERE pos <= 500"""
+_SCORED_LINES = f"(SELECT id, {', '.join(LABELS)} FROM {_DRAWN} WHERE {_scored_cond})"
+ORACLES["sample_n"] = f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {_KEY.format(id='id')}, id) AS pos
+FROM {_SCORED_LINES}) WHERE pos <= 500"""
 
 
-def _strat_sql(src_sql: str, target: int, id_col: str = "doc_id") -> str:
-    """M1 as chained CTEs: three capped rare passes, a fill pass, negatives."""
+def _strat_sql(src_sql: str, target: int, id_col: str = "id", p: str = "") -> str:
+    """M1 as chained CTEs (their names start with ``p``): three capped rare passes, a fill pass, negatives."""
     budget, cap = target // 2, max((target // 2) // 3, 1)
     k = _KEY.format(id=id_col)
     lsum = " + ".join(f"coalesce({l}, 0)" for l in LABELS)
 
     def take(where, n):
         return (f"SELECT {id_col} FROM (SELECT {id_col}, row_number() OVER (ORDER BY {k}, {id_col}) AS rn "
-                f"FROM sb WHERE {where}) WHERE rn <= {n}")
+                f"FROM {p}sb WHERE {where}) WHERE rn <= {n}")
     return f"""
-sb AS (SELECT * FROM {src_sql}),
-p1 AS ({take('threat = 1', cap)}),
-p2 AS ({take(f'severe_toxic = 1 AND {id_col} NOT IN (SELECT {id_col} FROM p1)', cap)}),
-p3 AS ({take(f'identity_hate = 1 AND {id_col} NOT IN (SELECT {id_col} FROM p1 UNION ALL SELECT {id_col} FROM p2)', cap)}),
-rare AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3),
-fill AS ({take(f'({lsum}) > 0 AND {id_col} NOT IN (SELECT {id_col} FROM rare)', f'greatest({budget} - (SELECT count(*) FROM rare), 0)')}),
-picked AS (SELECT * FROM rare UNION ALL SELECT * FROM fill),
-neg AS ({take(f'({lsum}) = 0 AND {id_col} NOT IN (SELECT {id_col} FROM picked)', '(SELECT count(*) FROM picked)')}),
-chosen AS (SELECT * FROM picked UNION ALL SELECT * FROM neg),
-strat AS (SELECT * FROM (SELECT sb.*, row_number() OVER (ORDER BY {k}, sb.{id_col}) AS pos
-          FROM sb WHERE {id_col} IN (SELECT {id_col} FROM chosen)) WHERE pos <= {target})"""
+{p}sb AS (SELECT * FROM {src_sql}),
+{p}p1 AS ({take('threat = 1', cap)}),
+{p}p2 AS ({take(f'severe_toxic = 1 AND {id_col} NOT IN (SELECT {id_col} FROM {p}p1)', cap)}),
+{p}p3 AS ({take(f'identity_hate = 1 AND {id_col} NOT IN (SELECT {id_col} FROM {p}p1 UNION ALL SELECT {id_col} FROM {p}p2)', cap)}),
+{p}rare AS (SELECT * FROM {p}p1 UNION ALL SELECT * FROM {p}p2 UNION ALL SELECT * FROM {p}p3),
+{p}fill AS ({take(f'({lsum}) > 0 AND {id_col} NOT IN (SELECT {id_col} FROM {p}rare)', f'greatest({budget} - (SELECT count(*) FROM {p}rare), 0)')}),
+{p}picked AS (SELECT * FROM {p}rare UNION ALL SELECT * FROM {p}fill),
+{p}neg AS ({take(f'({lsum}) = 0 AND {id_col} NOT IN (SELECT {id_col} FROM {p}picked)', f'(SELECT count(*) FROM {p}picked)')}),
+{p}chosen AS (SELECT * FROM {p}picked UNION ALL SELECT * FROM {p}neg),
+{p}strat AS (SELECT * FROM (SELECT {p}sb.*, row_number() OVER (ORDER BY {k}, {p}sb.{id_col}) AS pos
+          FROM {p}sb WHERE {id_col} IN (SELECT {id_col} FROM {p}chosen)) WHERE pos <= {target})"""
 
 
-ORACLES["stratified_sample"] = "WITH " + _strat_sql(_SCORED, 3000) + "\nSELECT * FROM strat"
+ORACLES["stratified_sample"] = "WITH " + _strat_sql(_SCORED_LINES, 3000) + "\nSELECT * FROM strat"
 
 
 def _split_sql(part_sql: str, id_col: str) -> str:
@@ -289,27 +302,31 @@ ORACLES["cv_folds"] = f"""
 SELECT doc_id, label, y, CAST((row_number() OVER (PARTITION BY label, y ORDER BY {_KEY.format(id='doc_id')}, doc_id) - 1) % 3 AS INTEGER) AS fold
 FROM ({_CV_LONG})"""
 
-_SILVER_SRC = f"(SELECT * FROM {S.comment_table()} WHERE {_scored_cond})"
 _TR = S.strip("replace(substr(coalesce(comment_text, ''), 1, 400), chr(10), ' ')")
-_SILVER = "WITH " + _strat_sql(_SILVER_SRC, 500) + f""",
-silver AS (SELECT doc_id, {_TR} AS comment_text_en, {_TR} AS comment_text_sn, {', '.join(LABELS)},
-           'mt_silver' AS source FROM strat)"""
+_DRAWS = {"train": (3000, "TRUE"), "validation": (500, "TRUE"), "test": (500, _scored_cond)}
+_TRAIN_COLS = f"comment_text_en, comment_text_sn, {', '.join(LABELS)}, source"
+_SILVER = "WITH " + ",".join(_strat_sql(f"(SELECT * FROM {_DRAWN} WHERE given = '{g}' AND {c})", n, "id", f"{g}_")
+                             for g, (n, c) in _DRAWS.items()) + ",\nsilver AS (" + " UNION ALL ".join(
+    f"SELECT id, '{g}' AS split, pos, {_TR} AS comment_text_en, {_TR} AS comment_text_sn, {', '.join(LABELS)}, 'mt_silver' AS source FROM {g}_strat"
+    for g in _DRAWS) + ")"
 ORACLES["silver_split"] = _SILVER + "\nSELECT * FROM silver"
 
-_TRAIN_COLS = f"comment_text_en, comment_text_sn, {', '.join(LABELS)}, source"
 _CLEAN = f"""(SELECT conv_id * 1000 + turn AS id, '' AS comment_text_en, text AS comment_text_sn,
    {', '.join(f'0 AS {l}' for l in LABELS)}, 'native_conversational_clean' AS source FROM conversations)"""
-_MERGED = _SILVER + f""",
-merged AS (
-  SELECT split, 'silver:' || CAST(doc_id AS VARCHAR) AS key, {_TRAIN_COLS} FROM {_split_sql('silver', 'doc_id')}
-  UNION ALL
+_NATIVE_PARTS = f"""
   SELECT split, 'native:' || CAST(doc_id AS VARCHAR) AS key, {_TRAIN_COLS} FROM {_split_sql(_NATIVE, 'doc_id')}
   UNION ALL
   SELECT split, 'clean:' || CAST(id AS VARCHAR) AS key, {_TRAIN_COLS} FROM {_split_sql(_CLEAN, 'id')}
   UNION ALL
-  SELECT split, 'custom:' || CAST(doc_id AS VARCHAR) AS key, {_TRAIN_COLS} FROM {_split_sql(_CUSTOM, 'doc_id')})"""
-ORACLES["merge_sources"] = _MERGED + "\nSELECT * FROM merged"
-ORACLES["native_test"] = _MERGED + "\nSELECT * FROM merged WHERE split = 'test' AND source <> 'mt_silver'"
+  SELECT split, 'custom:' || CAST(doc_id AS VARCHAR) AS key, {_TRAIN_COLS} FROM {_split_sql(_CUSTOM, 'doc_id')}"""
+_MERGED = _SILVER + f""",
+merged AS (
+  SELECT split, 'silver:' || CAST(id AS VARCHAR) AS key, {_TRAIN_COLS} FROM silver WHERE split <> 'test'
+  UNION ALL
+  SELECT CASE WHEN split = 'test' THEN 'native_test' ELSE split END AS split, key, {_TRAIN_COLS} FROM ({_NATIVE_PARTS})),
+placed AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5('42:' || key), key) AS pos FROM merged)"""
+ORACLES["merge_sources"] = _MERGED + "\nSELECT * FROM placed WHERE split <> 'native_test'"
+ORACLES["native_test"] = _MERGED + "\nSELECT * FROM placed WHERE split = 'native_test'"
 ORACLES["source_counts"] = _MERGED + f"""
 SELECT split, source, count(*) AS n, {', '.join(f'CAST(sum({l}) AS BIGINT) AS {l}' for l in LABELS)}
 FROM merged GROUP BY ROLLUP (split, source)"""
@@ -407,7 +424,9 @@ def _auc_overall_sql(src):
 
 ORACLES["roc_auc_overall"] = _auc_overall_sql(_EV)
 
-_BENCH_SRC = f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {_KEY.format(id='doc_id')}, doc_id) AS pos FROM {_EV}) WHERE pos <= 500)"
+_EV_LINES = (f"(SELECT id, {', '.join(LABELS)}, {', '.join(f'{S.fixture_score(l, "id")} AS pa_{l}' for l in LABELS)} "
+             f"FROM {_DRAWN} WHERE {_scored_cond})")
+_BENCH_SRC = f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {_KEY.format(id='id')}, id) AS pos FROM {_EV_LINES}) WHERE pos <= 500)"
 ORACLES["benchmark_eval"] = f"""
 SELECT o.n AS n_test, o.macro_f1, o.micro_f1, o.hamming_loss, o.subset_accuracy, a.macro_roc_auc, a.micro_roc_auc
 FROM ({_overall_sql(_BENCH_SRC)}) o, ({_auc_overall_sql(_BENCH_SRC)}) a"""
@@ -428,6 +447,65 @@ FROM ({_overall_sql(_GOLD_WIDE, 'pg_', 'slice')}) o
 JOIN (SELECT slice, round(avg(CAST(match AS DOUBLE)), 6) AS exact_match_rate FROM {_GOLD_WIDE} GROUP BY slice) e USING (slice)"""
 ORACLES["golden_eval"] = _GOLDEN_SQL
 
+_GOLD_LINES = f"""(SELECT id,
+   list_filter([{', '.join(f"CASE WHEN {l} = 1 THEN '{l}' END" for l in LABELS)}], lambda x: x IS NOT NULL) AS expected,
+   list_filter([{', '.join(f"CASE WHEN {S.marker_score(l, "lower(coalesce(text, ''))", lx.EN_MARKERS)} >= 0.5 THEN '{l}' END" for l in LABELS)}], lambda x: x IS NOT NULL) AS predicted,
+   {S.digits_of('drawn', 'id', 9)} < 3 AS known
+ FROM {_DRAWN} JOIN (SELECT id, text FROM {_MIXED}) USING (id) WHERE {_scored_cond})"""
+ORACLES["golden_mismatches"] = f"""
+WITH g AS (SELECT *, CASE WHEN known THEN 'known_limitations' ELSE 'gating' END AS slice FROM {_GOLD_LINES}),
+d AS (
+  SELECT *, 'missing' AS kind, unnest(list_filter(expected, lambda x: NOT list_contains(predicted, x))) AS label FROM g
+  UNION ALL
+  SELECT *, 'extra' AS kind, unnest(list_filter(predicted, lambda x: NOT list_contains(expected, x))) AS label FROM g
+  UNION ALL
+  SELECT *, 'now_passes' AS kind, NULL AS label FROM g WHERE known AND list_sort(expected) = list_sort(predicted))
+SELECT id, slice, kind, label, array_to_string(list_sort(expected), ',') AS expected, array_to_string(list_sort(predicted), ',') AS predicted,
+       CASE WHEN known THEN 'documented as ' || CAST(id AS VARCHAR) END AS limitation_note FROM d"""
+
+_TJ = S.category_labels_sql("category", "severity", "label = 'toxic'")
+ORACLES["truth_join"] = f"""
+WITH t0 AS (SELECT doc_id, {', '.join(f'{_TJ[l]} AS {l}' for l in LABELS)} FROM {S.ANNOTATED} WHERE doc_id % 7 <> 3),
+t AS (SELECT * FROM t0 UNION ALL SELECT * FROM t0 WHERE doc_id % 11 = 5),
+p0 AS (SELECT doc_id, {_PA_SQL} FROM documents WHERE doc_id % 5 <> 2),
+p AS (SELECT * FROM p0 UNION ALL SELECT * FROM p0 WHERE doc_id % 13 = 4),
+ids AS (SELECT doc_id, sum(t) AS nt, sum(p) AS np FROM (SELECT doc_id, 1 AS t, 0 AS p FROM t UNION ALL SELECT doc_id, 0, 1 FROM p) GROUP BY doc_id),
+s AS (SELECT doc_id, CASE WHEN nt > 1 OR np > 1 THEN 'repeated' WHEN np = 0 THEN 'truth_only' WHEN nt = 0 THEN 'pred_only' ELSE 'matched' END AS status FROM ids),
+m AS (SELECT * FROM s JOIN t USING (doc_id) JOIN p USING (doc_id) WHERE status = 'matched'),
+c AS ({_conf_sql('m')})
+SELECT 'coverage' AS part, status AS name, NULL AS label, count(*) AS n FROM s GROUP BY status
+UNION ALL SELECT 'confusion', 'tp', label, tp FROM c UNION ALL SELECT 'confusion', 'fp', label, fp FROM c
+UNION ALL SELECT 'confusion', 'fn', label, fn FROM c UNION ALL SELECT 'confusion', 'tn', label, tn FROM c"""
+
+_SLICED = f"""(SELECT id, {', '.join(LABELS)}, {', '.join(f'pa_{l}' for l in LABELS)},
+   CASE WHEN {S.digits_of('drawn', 'id', 8)} = 9 THEN 'golden' ELSE 'mt_silver' END AS slice, {S.digits_of('drawn', 'id', 9)} >= 3 AS gates FROM {_EV_LINES}
+ UNION ALL SELECT doc_id, {', '.join(LABELS)}, {', '.join(f'pa_{l}' for l in LABELS)}, 'native', TRUE FROM {_EV})"""
+_SLICED_OK = f"(SELECT * FROM {_SLICED} WHERE slice <> 'golden' OR gates)"
+ORACLES["slice_report"] = f"""
+SELECT w.slice, CASE WHEN n.n IS NULL THEN 'skipped' ELSE 'scored' END AS status, coalesce(n.n, 0) AS n_examples, coalesce(o.n, 0) AS n_scored,
+       o.macro_f1_tested AS macro_f1, o.micro_f1, o.hamming_loss, o.subset_accuracy
+FROM (VALUES ('mt_silver'), ('native'), ('golden'), ('native_social'), ('custom_reviewed')) w(slice)
+LEFT JOIN (SELECT slice, count(*) AS n FROM {_SLICED} GROUP BY slice) n USING (slice)
+LEFT JOIN ({_overall_sql(_SLICED_OK, 'pa_', 'slice')}) o USING (slice)"""
+
+
+def _report_sql(pfx: str) -> str:
+    """Long form of a report: per-label metrics and overall ones."""
+    conf = _conf_sql(_EV, pfx)
+    per = (f"SELECT label, tp + fn AS support, {_div('tp', 'tp + fp')} AS precision, {_div('tp', 'tp + fn')} AS recall, "
+           f"{_div('2 * tp', '2 * tp + fp + fn')} AS f1 FROM ({conf})")
+    over = _overall_sql(_EV, pfx, rnd=False)
+    longs = [f"SELECT label, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({per})" for m in ("precision", "recall", "f1", "support")]
+    longs += [f"SELECT 'overall', '{m}', CAST({c} AS DOUBLE) FROM ({over})"
+              for m, c in (("macro_f1", "macro_f1"), ("micro_f1", "micro_f1"), ("hamming_loss", "hamming_loss"),
+                           ("subset_accuracy", "subset_accuracy"), ("n_test", "n"))]
+    return " UNION ALL ".join(longs)
+
+
+ORACLES["report_compare"] = f"""
+SELECT a.label, a.metric, round(a.value, 6) AS value, round(b.value, 6) AS baseline, round(a.value - b.value, 6) AS delta
+FROM ({_report_sql('pa_')}) a LEFT JOIN (SELECT * FROM ({_report_sql('pb_')}) WHERE label <> 'threat') b USING (label, metric)"""
+
 ORACLES["model_compare"] = f"""
 SELECT a.label, a.f1, b.f1 AS baseline_f1, round(a.f1_raw - b.f1_raw, 6) AS delta
 FROM (SELECT label, round(f1r, 6) AS f1, f1r AS f1_raw FROM (SELECT label, {_div('2 * tp', '2 * tp + fp + fn')} AS f1r FROM ({_conf_sql(_EV, 'pa_')}))) a

@@ -95,10 +95,6 @@ def fixture_score(label: str, id_expr: str) -> str:
     return f"(('0x' || substr(md5({q(label)} || ':' || CAST({id_expr} AS VARCHAR)), 1, 4))::INTEGER / 65535.0)"
 
 
-def order_key(id_expr: str, seed: int = 42) -> str:
-    return f"md5('{seed}:' || CAST({id_expr} AS VARCHAR))"
-
-
 ANNOTATED = f"""(
   SELECT d.doc_id, d.text, d.lang, d.source, l.quality,
          CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'non-toxic' END AS label,
@@ -145,3 +141,55 @@ def comment_table() -> str:
 
 def fixture_scores_cols(id_expr: str, prefix: str = "s_") -> str:
     return ", ".join(f"{fixture_score(l, id_expr)} AS {prefix}{l}" for l in LABELS)
+
+
+def digits_of(tag: str, id_expr: str, first: int, n: int = 1) -> str:
+    return f"(('0x' || substr(md5('{tag}:' || CAST({id_expr} AS VARCHAR)), {first + 1}, {n}))::INTEGER)"
+
+
+LINES = f"""(
+  SELECT doc_id * 1000000 + i - 1 AS id, lines[i] AS text, lang, source
+  FROM (SELECT doc_id, lang, source, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {strip('x')}),
+                                                 lambda x: length(x) > 0) AS lines FROM documents),
+       LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i))"""
+
+
+def mixed() -> str:
+    from moderato.sources.fixtures import MIXED, MIXED_OF
+    ways = []
+    for v, (keep, phrases) in enumerate(MIXED):
+        if phrases is None:
+            new = "NULL"
+        else:
+            listed = "[" + ", ".join(q(p).replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '") for p in phrases) + "]"
+            new = f"{listed}[(h // {MIXED_OF}) % {len(phrases)} + 1]"
+            new = f"text || ' ' || {new}" if keep else new
+        ways.append(f"WHEN {v} THEN {new}")
+    return (f"(SELECT id, CASE h % {MIXED_OF} {' '.join(ways)} ELSE text END AS text, lang, source "
+            f"FROM (SELECT *, {digits_of('mix', 'id', 0, 4)} AS h FROM {LINES}))")
+
+
+def drawn() -> str:
+    from moderato.sources.fixtures import DRAWN_RATES
+    digit = lambda i: digits_of("drawn", "id", i)
+    labs = ", ".join(f"CASE WHEN {digit(7)} = 0 THEN -1 ELSE CAST({digit(j)} < {r} AS INTEGER) END AS {l}"
+                     for j, (l, r) in enumerate(zip(LABELS, DRAWN_RATES, strict=True)))
+    return (f"(SELECT id, text AS comment_text, {labs}, CASE WHEN {digit(8)} < 2 THEN 'validation' WHEN {digit(8)} < 4 THEN 'test' "
+            f"ELSE 'train' END AS given FROM {LINES})")
+
+
+def raw_annotated(numeric: bool = True) -> str:
+    more = "" if numeric else "WHEN 10 THEN 'x' WHEN 11 THEN NULL WHEN 12 THEN '2f'"
+    return f"""(SELECT doc_id, CASE doc_id % 29 WHEN 0 THEN NULL WHEN 9 THEN 'the same text again' ELSE text END AS text,
+   CASE doc_id % 29 WHEN 1 THEN 'Toxic' WHEN 2 THEN NULL ELSE label END AS label,
+   CASE doc_id % 29 WHEN 3 THEN 'unknown_kind' WHEN 4 THEN NULL ELSE category END AS category,
+   CASE doc_id % 29 WHEN 5 THEN '9' WHEN 6 THEN '2.5' WHEN 7 THEN '-1' {more} ELSE severity::VARCHAR END AS severity,
+   CASE WHEN doc_id % 29 = 8 THEN NULL ELSE source END AS source_lemma FROM {ANNOTATED})"""
+
+
+FILED = f"""(SELECT * EXCLUDE (severity),
+   CASE WHEN source = 'src2' AND doc_id % 3 = 0 THEN '2x' WHEN source = 'src3' AND doc_id % 5 = 0 THEN '99999999999' ELSE severity::VARCHAR END AS severity,
+   CASE WHEN source = 'src0' THEN '/data/native/full.csv'
+        WHEN source = 'src1' AND lang = 'en' THEN '/data/native/custom_shona_template.csv'
+        WHEN source = 'src1' THEN '/data/' || lang || '/custom_shona_template.csv'
+        ELSE '/data/native/' || source || ' ' || coalesce(lang, '') || '.csv' END AS file FROM {ANNOTATED})"""

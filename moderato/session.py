@@ -29,9 +29,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def safe_unions(spark: SparkSession) -> None:
+    """Spark 4.1 lets a union pass on a partitioning that its inputs share.  With adaptive
+    execution these can be coalesced apart, and a grouping that trusts the union then counts one
+    key in two tasks (``tests/test_session.py`` shows it).  Sessions that run these operators turn
+    the claim off; other versions don't know the setting."""
+    if spark.version.startswith("4."):
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; set a local one only when unset
     (tests and local runs)."""
+    safe_unions(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -56,3 +66,11 @@ def reliable_checkpoint(df):
     lineage; survives executor loss).  Never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df, name: str):
+    """Writes ``df`` as Parquet below the shared checkpoint folder and reads it back:
+    computed once, the lineage cut, nothing lost with an executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
