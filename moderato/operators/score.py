@@ -1,27 +1,31 @@
 """Batch scoring and moderation.
 
 A scorer adds six ``score_<label>`` DOUBLE columns.  Expression scorers are
-plain Column expressions (JVM side, codegen).  Model scorers run inside
-``mapInPandas``: the model is built once per task from a picklable factory
-and fed Arrow batches, cut into mini-batches.  Moderation routes rows by
-language with ``when`` (expression scorers: one projection, no split) or by a
-filter per branch plus ``unionByName`` (model scorers); rows never leave
-their partition, so there is no shuffle until a summary is asked for.
+plain Column expressions (JVM side, codegen).  Model scorers run in one pass over
+Arrow batches that holds the models of all languages: each is built once per task, when its first row
+comes, from a picklable factory; rows are masked by language and blankness, and a model is
+fed mini-batches of its own rows.  Columns that no model reads go through as Arrow has them.  A model may
+leave labels out; they score 0.0.  Moderation routes rows by language with
+``when``: one scan, and rows never leave their partition, so there is no shuffle until a
+summary is asked for.
 """
 
 from __future__ import annotations
 
-from typing import Callable, Iterator
+import time
+from typing import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moderato.functions import lexicon as lx
 from moderato.functions.language import detect_language
 from moderato.functions.text import as_text, is_scoreable, tokens
-from moderato.functions.thresholds import flagged_labels, resolve_thresholds, thresholds_map
+from moderato.functions.thresholds import fill_scores, flagged_labels, resolve_thresholds, thresholds_map
 from moderato.schema import LABELS
 
 SCORE_COLS = [f"score_{l}" for l in LABELS]
@@ -151,10 +155,11 @@ class ShonaScorer(Scorer):
 
 
 class PandasScorer(Scorer):
-    """A model run over Arrow batches with ``mapInPandas``.
+    """A model run over Arrow batches.
 
-    ``factory()`` is called once per task and returns ``predict(texts) ->
-    array-like of shape (n, 6)`` (LABELS order).  Texts are fed in mini-batches
+    ``factory()`` is called once per task and returns ``predict(texts)``, which gives either an
+    array-like of shape (n, 6) (LABELS order) or one dict (label -> score) per text, which
+    may lack labels.  Texts are fed in mini-batches
     of ``batch_size``.  ``max_chars`` truncates ahead of the model.
     """
 
@@ -163,29 +168,45 @@ class PandasScorer(Scorer):
         self.factory, self.name, self.batch_size, self.max_chars = factory, name, batch_size, max_chars
 
     def score(self, df: DataFrame, text_col: str) -> DataFrame:
-        factory, bs, max_chars = self.factory, self.batch_size, self.max_chars
-        out_schema = T.StructType(
-            [f for f in df.schema.fields if f.name not in SCORE_COLS]
-            + [T.StructField(c, T.DoubleType()) for c in SCORE_COLS])
-        keep = [f.name for f in df.schema.fields if f.name not in SCORE_COLS]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import numpy as np
-            predict = factory()
-            for pdf in batches:
-                texts = pdf[text_col].fillna("").astype(str)
-                if max_chars:
-                    texts = texts.str.slice(0, max_chars)
-                texts = texts.tolist()
-                parts = [np.asarray(predict(texts[i:i + bs]), dtype="float64").reshape(-1, len(LABELS))
-                         for i in range(0, len(texts), bs)]
-                mat = np.vstack(parts) if parts else np.zeros((0, len(LABELS)))
-                out = pdf[keep].copy()
-                for j, c in enumerate(SCORE_COLS):
-                    out[c] = mat[:, j]
-                yield out
-
-        return df.select(*keep).mapInPandas(run, out_schema)
+        df = df.drop(*[c for c in SCORE_COLS if c in df.columns])
+        one = df.withColumns({_ROUTE: F.lit("en"), _OK: F.lit(True)})
+        filled = fill_scores(F.col(_SCORES))
+        return routed_scores(one, text_col, {"en": self}).withColumns({score_col(l): filled[l] for l in LABELS}).drop(_ROUTE, _OK, _SCORES)
+
+
+_ROUTE, _OK, _SCORES = "_route", "_scoreable", "_scores"
+
+
+def routed_scores(df: DataFrame, text_col: str, models: dict[str, PandasScorer]) -> DataFrame:
+    """Adds ``_scores``, a ``MAP<STRING,DOUBLE>``: what the model of a row's ``_route`` says of its text.
+    Rows that aren't ``_scoreable``, and routes without a model, get NULL."""
+    names = df.columns
+    at_text, at_route, at_ok = names.index(text_col), names.index(_ROUTE), names.index(_OK)
+    models = dict(models)
+
+    def run(batches):
+        built = {}
+        for batch in batches:
+            ok = np.asarray(batch.column(at_ok).fill_null(False))
+            route = np.asarray(batch.column(at_route).to_pylist(), dtype=object)
+            found = [None] * batch.num_rows
+            for lang, model in models.items():
+                mine = np.flatnonzero(ok & (route == lang))
+                if not len(mine):
+                    continue
+                if lang not in built:
+                    built[lang] = model.factory()
+                texts = [t or "" for t in batch.column(at_text).take(pa.array(mine)).to_pylist()]
+                if model.max_chars:
+                    texts = [t[:model.max_chars] for t in texts]
+                for i in range(0, len(texts), model.batch_size):
+                    said = built[lang](texts[i:i + model.batch_size])
+                    for at, one in zip(mine[i:i + model.batch_size].tolist(), said, strict=True):
+                        found[at] = list(one.items() if isinstance(one, dict) else zip(LABELS, map(float, one), strict=True))
+            scores = pa.array(found, pa.map_(pa.string(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*names, _SCORES])
+    schema = T.StructType([*df.schema.fields, T.StructField(_SCORES, T.MapType(T.StringType(), T.DoubleType()))])
+    return df.mapInArrow(run, schema)
 
 
 def marker_predictor(markers=tuple(lx.EN_MARKERS), label="toxic", hit=lx.MARKER_HIT, miss=lx.MARKER_MISS):
@@ -193,8 +214,6 @@ def marker_predictor(markers=tuple(lx.EN_MARKERS), label="toxic", hit=lx.MARKER_
     markers, j = list(markers), LABELS.index(label)
 
     def make():
-        import numpy as np
-
         def predict(texts):
             s = pd.Series(texts, dtype="object").str.lower()
             hit_mask = np.zeros(len(s), dtype=bool)
@@ -207,19 +226,51 @@ def marker_predictor(markers=tuple(lx.EN_MARKERS), label="toxic", hit=lx.MARKER_
     return make
 
 
+def marker_mapper(markers=tuple(lx.EN_MARKERS), label="toxic", hit=lx.MARKER_HIT, miss=lx.MARKER_MISS):
+    """Factory of a marker model that only ever names one label."""
+    markers = list(markers)
+
+    def make():
+        return lambda texts: [{label: hit if any(m in t.lower() for m in markers) else miss} for t in texts]
+    return make
+
+
 # ---------------------------------------------------------------- moderation
-def _blank_scores(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.lit(0.0) for c in SCORE_COLS})
+def _model_of(scorer: Scorer) -> PandasScorer | None:
+    inner = scorer.base if isinstance(scorer, ShonaScorer) else scorer
+    return inner if isinstance(inner, PandasScorer) else None
+
+
+def _is_expression(scorer: Scorer) -> bool:
+    return isinstance(scorer, ExpressionScorer) or (isinstance(scorer, ShonaScorer) and scorer.is_expression)
+
+
+def _by_row(df: DataFrame, text_col: str, scorers: dict[str, Scorer]) -> DataFrame:
+    """Scores each row by the scorer of its ``_route`` (blank rows 0.0): one
+    pass over the rows, whatever mix of expressions and models.  Needs TOKENS_COL."""
+    models = {lang: m for lang, sc in scorers.items() if (m := _model_of(sc))}
+    if models:
+        # The token arrays needn't go through the models.
+        df = routed_scores(df.drop(TOKENS_COL), text_col, models).withColumn(TOKENS_COL, tokens(F.col(text_col)))
+    toks, filled, cols = F.col(TOKENS_COL), fill_scores(F.col(_SCORES)), {}
+    for lang, sc in scorers.items():
+        if _is_expression(sc):
+            cols[lang] = sc.columns(F.col(text_col), toks)
+        else:
+            cols[lang] = shona_adjust(filled, toks) if isinstance(sc, ShonaScorer) else filled
+    out = {}
+    for l in LABELS:
+        c = F.when(~F.col(_OK), F.lit(0.0))
+        for lang in scorers:
+            c = c.when(F.col(_ROUTE) == lang, cols[lang][l])
+        out[score_col(l)] = c
+    return df.withColumns(out).drop(_SCORES)
 
 
 def _score_branch(df: DataFrame, scorer: Scorer, text_col: str) -> DataFrame:
-    """Blank rows skip the model (their scores are 0.0); the rest are scored."""
-    if isinstance(scorer, ExpressionScorer) or (isinstance(scorer, ShonaScorer) and scorer.is_expression):
-        scored = scorer.score(df, text_col)
-        return scored.withColumns({c: F.when(F.col("_scoreable"), F.col(c)).otherwise(F.lit(0.0))
-                                   for c in SCORE_COLS})
-    live = scorer.score(df.filter(F.col("_scoreable")), text_col)
-    blank = _blank_scores(df.filter(~F.col("_scoreable")))
+    """A scorer that needs whole tables (it joins): blank rows skip it."""
+    live = scorer.score(df.filter(F.col(_OK)), text_col)
+    blank = df.filter(~F.col(_OK)).withColumns({c: F.lit(0.0) for c in SCORE_COLS})
     return live.unionByName(blank)
 
 
@@ -250,44 +301,36 @@ def moderate(df: DataFrame, text_col: str = "text", language: str | Column = "en
         lang = F.when(language == "auto", detect_language(toks=toks, default="en")).otherwise(
             F.coalesce(language, F.lit("en")))
     thr = resolve_thresholds(thresholds, global_threshold, per_label)
-    base = df.withColumn("language", lang).withColumn("_scoreable", is_scoreable(text))
-
     is_sn = F.col("language") == "sn"
-    both_expr = all(isinstance(s, ExpressionScorer) or (isinstance(s, ShonaScorer) and s.is_expression)
-                    for s in (en_scorer, sn_scorer))
-    if both_expr:
-        en_c = en_scorer.columns(text, toks)
-        sn_c = sn_scorer.columns(text, toks)
-        scored = base.withColumn("model", F.when(is_sn, F.lit(sn_scorer.name)).otherwise(F.lit(en_scorer.name)))
-        scored = scored.withColumns({
-            score_col(l): F.when(~F.col("_scoreable"), F.lit(0.0)).when(is_sn, sn_c[l]).otherwise(en_c[l])
-            for l in LABELS})
+    base = df.withColumn("language", lang).withColumns({
+        _OK: is_scoreable(text), _ROUTE: F.when(is_sn, F.lit("sn")).otherwise(F.lit("en")),
+        "model": F.when(is_sn, F.lit(sn_scorer.name)).otherwise(F.lit(en_scorer.name))})
+    scorers = {"sn": sn_scorer, "en": en_scorer}
+    if all(_is_expression(s) or _model_of(s) for s in scorers.values()):
+        scored = _by_row(base, text_col, scorers)
     else:
-        en_part = _score_branch(base.filter(~is_sn), en_scorer, text_col).withColumn("model", F.lit(en_scorer.name))
-        sn_part = _score_branch(base.filter(is_sn), sn_scorer, text_col).withColumn("model", F.lit(sn_scorer.name))
-        scored = en_part.unionByName(sn_part)
+        parts = [_by_row(rows, text_col, {lang: sc}) if _is_expression(sc) or _model_of(sc) else _score_branch(rows, sc, text_col)
+                 for lang, sc in scorers.items() for rows in [base.filter(F.col(_ROUTE) == lang)]]
+        scored = parts[0].unionByName(parts[1])
 
     scores = {l: F.col(score_col(l)) for l in LABELS}
     flagged = flagged_labels(scores, thr, F.col("_scoreable"))
     return (scored.withColumn("flagged_labels", flagged)
             .withColumn("is_toxic", F.size("flagged_labels") > 0)
             .withColumn("thresholds_used", thresholds_map(thr))
-            .drop("_scoreable", TOKENS_COL))
+            .drop(_OK, _ROUTE, TOKENS_COL))
 
 
 def score_batch(df: DataFrame, text_col: str, scorer: Scorer, threshold=0.5) -> DataFrame:
     """Score every row (blank rows 0.0) and flag at a normalised threshold (U4)."""
     from moderato.functions.thresholds import normalize_thresholds
-    base = df.withColumn("_scoreable", is_scoreable(F.col(text_col)))
-    scored = _score_branch(base, scorer, text_col)
+    base = df.withColumns({TOKENS_COL: tokens(F.col(text_col)), _OK: is_scoreable(F.col(text_col)), _ROUTE: F.lit("en")})
+    one_pass = _is_expression(scorer) or _model_of(scorer)
+    scored = _by_row(base, text_col, {"en": scorer}) if one_pass else _score_branch(base, scorer, text_col)
     thr = normalize_thresholds(threshold)
-    flagged = flagged_labels({l: F.col(score_col(l)) for l in LABELS}, thr, F.col("_scoreable"))
+    flagged = flagged_labels({l: F.col(score_col(l)) for l in LABELS}, thr, F.col(_OK))
     return (scored.withColumn("flagged_labels", flagged)
-            .withColumn("is_toxic", F.size("flagged_labels") > 0).drop("_scoreable"))
-
-
-def scores_map(df: DataFrame) -> Column:
-    return F.create_map(*[x for l in LABELS for x in (F.lit(l), F.col(score_col(l)))])
+            .withColumn("is_toxic", F.size("flagged_labels") > 0).drop(_OK, _ROUTE, TOKENS_COL))
 
 
 def batch_summary(moderated: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -298,6 +341,15 @@ def batch_summary(moderated: DataFrame, by: list[str] | None = None) -> DataFram
     return moderated.groupBy(*(by or [])).agg(*aggs)
 
 
+def observed_write(df: DataFrame, path: str, metrics: dict[str, Column]) -> tuple[dict, float]:
+    """Writes ``df`` as Parquet and returns aggregates of what was written, taken during
+    that one pass, and the seconds it took."""
+    seen = Observation()
+    start = time.monotonic()
+    df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.parquet(path)
+    return seen.get, time.monotonic() - start
+
+
 class CalibratedScorer(Scorer):
     """U5 with a trained ``CalibratedModel``: document TF-IDF features, the
     calibrated per-label probabilities, joined back on ``id_col`` (features

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from moderato.functions.language import decide_language, language_evidence
 from moderato.functions.lexicon import lexicon_table
 from moderato.functions.text import strip, tokens
+from moderato.operators.features import run_lengths
 from moderato.schema import MAX_BATCH_SIZE
 
 
@@ -35,14 +36,9 @@ def lexicon_hits(df: DataFrame, text_col: str = "text", lexicon: DataFrame | Non
     per task for a hot term."""
     builtin = lexicon is None
     lex = (lexicon if lexicon is not None else lexicon_table(df.sparkSession)).select("term", "kind").distinct()
-    toks = df.select(tokens(F.col(text_col)).alias("_t"))
-    # The sorted tokens of a row: a run of equal ones is one term, as long as it occurs.
-    runs = toks.select(F.array_sort("_t").alias("_s")).select("_s", F.filter(
-        F.sequence(F.lit(0), F.size("_s")), lambda i: (i == 0) | (i == F.size("_s")) | (F.get("_s", i) != F.get("_s", i - 1))).alias("_at"))
-    bounds = F.arrays_zip(F.slice("_at", 1, F.size("_at") - 1).alias("lo"), F.slice("_at", 2, F.size("_at") - 1).alias("hi"))
-    each = runs.select(F.explode_outer(F.transform(bounds, lambda r: F.struct(
-        F.get("_s", r["lo"]).alias("term"), (r["hi"] - r["lo"]).alias("n")))).alias("_r"))
-    counted = each.select("_r.term", "_r.n").filter(F.col("term").isNotNull())
+    toks = df.select(tokens(F.col(text_col)).alias("_t")).select(F.array_sort("_t").alias("_s"))
+    each = toks.select(F.explode_outer(run_lengths(F.col("_s"))).alias("_r"))
+    counted = each.select("_r.term", F.col("_r.tf").alias("n")).filter(F.col("term").isNotNull())
     j = counted.join(F.broadcast(lex) if builtin else lex, "term")
     return j.groupBy("kind", "term").agg(F.sum("n").cast("long").alias("hits"), F.count(F.lit(1)).alias("docs"))
 

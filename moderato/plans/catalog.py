@@ -53,6 +53,7 @@ def q_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ text & language
+from moderato.functions import lexicon as lx  # noqa: E402
 from moderato.functions.labels import any_positive, category_labels, label_sum, scored_row  # noqa: E402
 from moderato.functions.text import (clean_text, is_scoreable, sigmoid, tokens,  # noqa: E402
                                      truncate_for_translation)
@@ -62,7 +63,7 @@ from moderato.operators import requests as rq  # noqa: E402
 from moderato.operators import text_ops  # noqa: E402
 from moderato.operators.score import (ConstantScorer, MarkerScorer, PandasScorer,  # noqa: E402
                                       ShonaScorer, benign_whitelisted, marker_predictor,
-                                      score_batch, shona_adjust, slur_floors)
+                                      marker_mapper, observed_write, score_batch, shona_adjust, slur_floors)
 
 
 def _docs(spark, sf_dir):
@@ -248,6 +249,29 @@ def q_score_batch(spark, sf_dir):
                       F.array_join("flagged_labels", ",").alias("flagged"), "is_toxic")
 
 
+@query("moderate_requests")
+def q_moderate_requests(spark, sf_dir):
+    """U6 for requests that each name a language (``en``, ``sn``, ``auto`` or none) and thresholds: both
+    models in one pass, neither naming all labels (P10), Shona floors and whitelist on top."""
+    d = fx.mixed(spark, sf_dir)
+    k = fx.digits_of("ask", F.col("id"), 0)
+    d = d.withColumns({"ask": F.when(k < 4, "en").when(k < 8, "sn").when(k < 13, "auto"), "limits": request_overrides(F.col("id"))})
+    m = moderate(d, "text", language=F.col("ask"), thresholds=F.col("limits"), per_label={"obscene": 0.7},
+                 en_scorer=PandasScorer(marker_mapper(), name="model-en", batch_size=16),
+                 sn_scorer=ShonaScorer(PandasScorer(marker_mapper(lx.SN_MARKERS), name="model-sn", batch_size=16)))
+    return moderated_view(m, "id")
+
+
+@query("score_throughput")
+def q_score_throughput(spark, sf_dir):
+    """Counts observed while moderated lines are written once; the rate is theirs over the seconds it took."""
+    m = moderate(fx.mixed(spark, sf_dir), "text", language="auto")
+    seen, seconds = observed_write(m, scratch_path(spark, "moderated"), {
+        "n": F.count(F.lit(1)), "n_toxic": F.count_if(F.col("is_toxic")), "n_sn": F.count_if(F.col("language") == "sn")})
+    rate = round(seen["n"] / seconds, 1)
+    return spark.createDataFrame([(seen["n"], seen["n_toxic"], seen["n_sn"], rate > 0)], "n long, n_toxic long, n_sn long, has_rate boolean")
+
+
 # ------------------------------------------------------------ validation & sources
 from moderato.operators import sampling as smp  # noqa: E402
 from moderato.operators import validate as val  # noqa: E402
@@ -320,6 +344,24 @@ def q_custom_sources(spark, sf_dir):
     return src.custom_rows(fx.filed(spark, sf_dir)).select("doc_id", *LABELS, "source")
 
 
+@query("custom_discovery")
+def q_custom_discovery(spark, sf_dir):
+    """S3 over CSV files of every kind, written first: reserved, template, bad severities, columns in
+    another order, columns missing.  One row per file with its verdict."""
+    rows = fx.filed(spark, sf_dir).withColumn("file", F.substring_index("_file", "/data/", -1))
+    path = scratch_path(spark, "custom")
+    odd, bare = F.col("source") == "src4", F.col("source") == "src5"
+    kinds = {"plain": (~odd & ~bare, ["text", "label", "category", "severity", "source"]),
+             "turned": (odd, ["severity", "category", "label", "text"]), "bare": (bare, ["text", "label"])}
+    for kind, (which, cols) in kinds.items():
+        part = rows.filter(which).withColumn("text", F.translate("text", "\r", " ")).select("file", *cols)
+        (part.repartition("file").write.partitionBy("file").option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/{kind}"))
+    found = src.Discovery(spark, [f"{path}/{k}" for k in kinds],
+                          lambda p: F.replace(F.url_decode(F.regexp_extract(p, "file=([^/]+)/", 1)), F.lit("%2F"), F.lit("/")))
+    return found.verdicts.select("file", F.array_join("header", ",").alias("header"), "n_rows", "bad_severities", "verdict")
+
+
 # ------------------------------------------------------------ sampling & splits
 @query("shuffled")
 def q_shuffled(spark, sf_dir):
@@ -661,6 +703,18 @@ def q_tfidf_char(spark, sf_dir):
     return _tfidf(spark, sf_dir, "char")
 
 
+@query("tfidf_validation")
+def q_tfidf_validation(spark, sf_dir):
+    """V5 on unseen text: both blocks fitted on the train part of the documents and stored; the
+    stored idf weighs the validation part, each block normalised on its own."""
+    d = _docs(spark, sf_dir)
+    path, parts = scratch_path(spark, "tfidf"), []
+    for a in ("word", "char"):
+        fe.fit_tfidf(d.filter(F.col("doc_id") % 10 < 8), "doc_id", "text", a).save(f"{path}/{a}", version=1)
+        parts.append(fe.TfidfModel.load(spark, f"{path}/{a}", 1).transform(d.filter(F.col("doc_id") % 10 >= 8), "doc_id", "text"))
+    return fe.union_features(*parts, "doc_id").withColumn("weight", _r(F.col("weight")))
+
+
 @query("tfidf_union")
 def q_tfidf_union(spark, sf_dir):
     """V5: the union vocabulary with dense feature indices and idf."""

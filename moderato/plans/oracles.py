@@ -10,13 +10,17 @@ ORACLES: dict[str, str] = {}
 
 
 def _moderated_sql(table: str, key: str, text: str = "text", language: str = "auto",
-                   thr: dict | None = None, sn_base: str = "marker", sn_name: str = "marker-sn") -> str:
-    """Per-row moderation of ``table`` with the marker scorers."""
+                   thr: dict | None = None, sn_base: str = "marker", sn_name: str = "marker-sn", en_name: str = "marker-en",
+                   ask: str | None = None, other: float = lx.MARKER_MISS) -> str:
+    """Per-row moderation of ``table`` with the marker scorers; ``ask`` is a row's own
+    language, ``other`` the score of labels that no marker gives."""
     thr = thr or {l: DEFAULT_THRESHOLDS[l] for l in LABELS}
     toks = "toks"
     lang = S.decide(S.en_evidence(toks), S.sn_evidence(toks)) if language == "auto" else S.q(language)
-    en = {l: S.marker_score(l, "low", lx.EN_MARKERS) for l in LABELS}
-    base = {l: (S.marker_score(l, "low", lx.SN_MARKERS) if sn_base == "marker" else S.d(0.0)) for l in LABELS}
+    if ask:
+        lang = f"CASE WHEN {ask} = 'auto' THEN {lang} ELSE coalesce({ask}, 'en') END"
+    en = {l: S.marker_score(l, "low", lx.EN_MARKERS, other=other) for l in LABELS}
+    base = {l: (S.marker_score(l, "low", lx.SN_MARKERS, other=other) if sn_base == "marker" else S.d(0.0)) for l in LABELS}
     sn = {l: S.shona_adjust(base[l], l, toks) for l in LABELS}
     score_sel = ",\n      ".join(
         f"CASE WHEN NOT scoreable THEN {S.d(0.0)} WHEN language = 'sn' THEN {sn[l]} ELSE {en[l]} END AS s_{l}"
@@ -30,7 +34,7 @@ WITH base AS (
 lang AS (SELECT *, {lang} AS language FROM base),
 sc AS (
   SELECT {key}, language, scoreable,
-      CASE WHEN language = 'sn' THEN '{sn_name}' ELSE 'marker-en' END AS model,
+      CASE WHEN language = 'sn' THEN '{sn_name}' ELSE '{en_name}' END AS model,
       {score_sel}
   FROM lang),
 fl AS (SELECT *, {flag_list} AS fl_list FROM sc)
@@ -166,6 +170,12 @@ FROM fl"""
 ORACLES["moderate_en"] = _moderated_sql("documents", "doc_id", language="en") + _MOD_SELECT
 ORACLES["moderate_sn"] = _moderated_sql(_MIXED, "id", language="sn", sn_base="zero",
                                         sn_name="zero-sn") + _MOD_SELECT.replace("doc_id", "id")
+_ASK = S.digits_of("ask", "id", 0)
+ORACLES["moderate_requests"] = _moderated_sql(
+    _MIXED, "id", ask=f"(CASE WHEN {_ASK} < 4 THEN 'en' WHEN {_ASK} < 8 THEN 'sn' WHEN {_ASK} < 13 THEN 'auto' END)",
+    thr={l: _thr_sql(l).replace("doc_id", "id") for l in LABELS}, en_name="model-en", sn_name="model-sn", other=0.0) + _MOD_SELECT.replace("doc_id", "id")
+ORACLES["score_throughput"] = _moderated_sql(_MIXED, "id") + """
+SELECT count(*) AS n, count(*) FILTER (WHERE len(fl_list) > 0) AS n_toxic, count(*) FILTER (WHERE language = 'sn') AS n_sn, TRUE AS has_rate FROM fl"""
 _u = {l: 0.5 for l in LABELS}
 ORACLES["score_batch"] = f"""
 WITH b AS (SELECT doc_id, lower(coalesce(text, '')) AS low, {S.scoreable('text')} AS ok FROM documents),
@@ -248,6 +258,14 @@ _FL = S.category_labels_sql("category", "least(TRY_CAST(severity AS BIGINT), 214
 _CUSTOM = f"""(SELECT doc_id, '' AS comment_text_en, text AS comment_text_sn,
     {', '.join(f'{_FL[l]} AS {l}' for l in LABELS)}, 'custom_' || regexp_extract(file, '([^/]+)\\.csv$', 1) AS source
   FROM {S.FILED} WHERE file IN (SELECT file FROM {_GOOD_FILES}))"""
+ORACLES["custom_discovery"] = f"""
+SELECT f AS file, header, n AS n_rows, bad AS bad_severities, verdict
+FROM (SELECT f, header, n, bad, CASE WHEN name = 'full.csv' THEN 'reserved' WHEN header = 'text,label' THEN 'missing_columns' WHEN bad > 0 THEN 'bad_severity'
+        WHEN name = 'custom_shona_template.csv' AND n <= 15 THEN 'template' ELSE 'kept' END AS verdict
+      FROM (SELECT substr(file, 7) AS f, regexp_extract(file, '([^/]+)$', 1) AS name,
+              any_value(CASE source WHEN 'src4' THEN 'severity,category,label,text' WHEN 'src5' THEN 'text,label' ELSE 'text,label,category,severity,source' END) AS header,
+              count(*) FILTER (WHERE source NOT IN ('src0', 'src5')) AS n, count(*) FILTER (WHERE severity = '2x') AS bad
+            FROM {S.FILED} GROUP BY file))"""
 ORACLES["custom_sources"] = f"SELECT doc_id, {', '.join(LABELS)}, source FROM {_CUSTOM}"
 
 # ------------------------------------------------------------ sampling & splits
@@ -583,6 +601,17 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 
 ORACLES["tfidf_word"] = _tfidf_sql(_WGRAMS, 2)
 ORACLES["tfidf_char"] = _tfidf_sql(_CGRAMS, 3)
+def _tfidf_unseen_sql(grams, min_df, tag):
+    train = f"(SELECT * FROM {_tf_sql(grams)} WHERE doc_id % 10 < 8)"
+    return f"""
+SELECT doc_id, '{tag}:' || term AS feature, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight
+FROM (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS w
+      FROM (SELECT * FROM {_tf_sql(grams)} WHERE doc_id % 10 >= 8)
+      JOIN (SELECT term, count(*) AS df FROM {train} GROUP BY term HAVING count(*) >= {min_df}) USING (term),
+      (SELECT count(*) AS n FROM documents WHERE doc_id % 10 < 8))"""
+
+
+ORACLES["tfidf_validation"] = _tfidf_unseen_sql(_WGRAMS, 2, "w") + " UNION ALL " + _tfidf_unseen_sql(_CGRAMS, 3, "c")
 ORACLES["tfidf_union"] = f"""
 WITH n AS (SELECT count(*) AS n FROM documents),
 v AS (SELECT 'w:' || term AS feature, df FROM {_df_sql(_WGRAMS, 2)} UNION ALL SELECT 'c:' || term AS feature, df FROM {_df_sql(_CGRAMS, 3)})

@@ -51,9 +51,9 @@ def d(x) -> str:
     return f"CAST({x!r} AS DOUBLE)"
 
 
-def marker_score(label: str, low: str, markers, target="toxic") -> str:
+def marker_score(label: str, low: str, markers, target="toxic", other=lx.MARKER_MISS) -> str:
     if label != target:
-        return d(lx.MARKER_MISS)
+        return d(other)
     return f"CASE WHEN {marker_hit(low, markers)} THEN {d(lx.MARKER_HIT)} ELSE {d(lx.MARKER_MISS)} END"
 
 

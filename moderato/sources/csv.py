@@ -8,9 +8,11 @@ NULL after the scan to keep the reference's null rules.
 
 from __future__ import annotations
 
-import os
+import csv
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,10 +69,11 @@ def pandas_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType,
-             pandas_na: bool = True) -> DataFrame:
-    """Header CSV with quoted, multi-line fields and a declared schema."""
+             pandas_na: bool = True, multi_line: bool = True) -> DataFrame:
+    """Header CSV with quoted fields and a declared schema.  Fields may hold line ends unless
+    ``multi_line`` is off: only then can Spark split a file among tasks."""
     df = (spark.read.schema(schema).option("header", True).option("escape", '"')
-          .option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
+          .option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
     return pandas_nulls(df) if pandas_na else df
 
 
@@ -85,8 +88,10 @@ def load_split(df: DataFrame, text_col: str = "comment_text") -> DataFrame:
 
 
 def scan_comments(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = COMMENT_ROW,
-                  text_col: str = "comment_text") -> DataFrame:
-    reader = read_csv(spark, path, schema) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
+                  text_col: str = "comment_text", multi_line: bool = True) -> DataFrame:
+    """A comment table with a declared schema.  Files that are known to hold no line end inside a
+    field are read with ``multi_line=False``, which splits large ones."""
+    reader = read_csv(spark, path, schema, multi_line=multi_line) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
     return load_split(reader, text_col)
 
 
@@ -117,45 +122,81 @@ def decoded_path(uri: Column) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
+def file_checks(df: DataFrame, file_col: str = "_file") -> DataFrame:
+    """S3: one row per file, ``(file, name, n_rows, bad_severities, verdict)``: ``reserved`` names, the
+    starter ``template`` while it has at most 15 rows, ``bad_severity`` if any severity is not a
+    number, else ``kept``.  One small aggregate."""
+    bad = F.col("severity").isNull() | severity_int(F.col("severity")).isNull()
+    per = df.groupBy(F.col(file_col).alias("file")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("bad_severities"))
+    name = F.regexp_extract("file", r"([^/]+)/?$", 1)
+    verdict = (F.when(name.isin(RESERVED_NATIVE_FILES), F.lit("reserved")).when(F.col("bad_severities") > 0, F.lit("bad_severity"))
+               .when((name == TEMPLATE_FILE) & (F.col("n_rows") <= TEMPLATE_MAX_ROWS), F.lit("template")).otherwise(F.lit("kept")))
+    return per.select("file", name.alias("name"), "n_rows", "bad_severities", verdict.alias("verdict"))
+
+
 def custom_rows(df: DataFrame, file_col: str = "_file") -> DataFrame:
-    """S3 rules on rows tagged with their file: reserved names are skipped,
-    the starter template is skipped while it has at most 15 rows, and a file
-    with any severity that is not a number is skipped whole; survivors get
+    """S3 rules on rows tagged with their file: those of kept files, as training rows with
     ``source = custom_<stem>``.  The per-file check is one small aggregate
     (one row per file); Spark decides whether it is small enough to broadcast."""
-    name = F.regexp_extract(F.col(file_col), r"([^/]+)$", 1)
-    base = df.withColumn("_name", name).filter(~F.col("_name").isin(RESERVED_NATIVE_FILES))
-    sev_bad = F.col("severity").isNull() | severity_int(F.col("severity")).isNull()
-    per_file = base.groupBy(file_col, "_name").agg(F.count(F.lit(1)).alias("_rows"),
-                                                   F.count_if(sev_bad).alias("_bad"))
-    good = per_file.filter((F.col("_bad") == 0) & ~((F.col("_name") == TEMPLATE_FILE)
-                                                    & (F.col("_rows") <= TEMPLATE_MAX_ROWS)))
-    kept = base.join(good.select(file_col), file_col, "left_semi")
+    good = file_checks(df, file_col).filter("verdict = 'kept'").select(F.col("file").alias(file_col))
+    kept = df.join(good, file_col, "left_semi")
     src = F.concat(F.lit(CUSTOM_PREFIX), file_stem(F.col(file_col)))
-    return native_rows(kept, src).drop("_name")
+    return native_rows(kept, src)
+
+
+def _header_names(batches):
+    for batch in batches:
+        names = [next(csv.reader([line.lstrip("\ufeff")]), []) for line in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string()))], names=["path", "header"])
+
+
+def csv_headers(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """``(path, header)`` of all files in one distributed scan: of each file only the first
+    block is looked at, and of it the first line is kept.  An empty file has no row."""
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).filter("input_file_block_start() = 0")
+    first = lines.select(F.input_file_name().alias("path"), "value", F.monotonically_increasing_id().alias("_at"))
+    first = first.groupBy("path").agg(F.min_by("value", "_at").alias("line"))
+    return first.mapInArrow(_header_names, "path string, header array<string>").select(decoded_path(F.col("path")).alias("path"), "header")
+
+
+class Discovery:
+    """Custom files of a folder: ``rows`` (training rows of kept files, None if there is none) and
+    ``verdicts``, one row per file (``file, name, header, n_rows, bad_severities, verdict``)."""
+
+    def __init__(self, spark: SparkSession, paths: list[str] | str, file_of: Callable[[Column], Column] | None = None):
+        """``file_of`` names the file that a path belongs to (the path itself, if not given)."""
+        file_of = file_of or (lambda path: path)
+        heads = csv_headers(spark, paths).withColumn("file", file_of(F.col("path")))
+        name = F.regexp_extract("file", r"([^/]+)/?$", 1)
+        missing = F.size(F.array_except(F.array(*[F.lit(c) for c in INGEST_COLUMNS]), "header")) > 0
+        early = F.when(name.isin(RESERVED_NATIVE_FILES), F.lit("reserved")).when(missing, F.lit("missing_columns"))
+        # One row per file of a listing.
+        found = heads.withColumn("verdict", early).collect()
+        shapes: dict[tuple, list[str]] = {}
+        for r in found:
+            if r.verdict is None:
+                shapes.setdefault(tuple(r.header), []).append(r.path)
+        parts = []
+        for header, files in shapes.items():
+            schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+            path = decoded_path(F.input_file_name())
+            parts.append(read_csv(spark, files, schema).select(*INGEST_COLUMNS, file_of(path).alias("_file")))
+        heads = spark.createDataFrame([(r.file, list(r.header), r.verdict) for r in found], "file string, header array<string>, early string")
+        heads = heads.groupBy("file").agg(F.first("header").alias("header"), F.first("early", ignorenulls=True).alias("early"))
+        everything = reduce(DataFrame.unionByName, parts) if parts else None
+        self.rows = custom_rows(everything) if parts else None
+        checks = file_checks(everything) if parts else spark.createDataFrame([], "file string, name string, n_rows long, bad_severities long, verdict string")
+        out = heads.join(checks.drop("name"), "file", "left").withColumn("verdict", F.coalesce("early", "verdict", F.lit("empty")))
+        self.verdicts = out.select("file", name.alias("name"), "header", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+                                   F.coalesce("bad_severities", F.lit(0)).alias("bad_severities"), "verdict")
 
 
 def discover_custom(spark: SparkSession, directory: str) -> DataFrame | None:
-    """S3 over a directory: list ``*.csv``, read each header (first line
-    only), drop files lacking any of the four ingest columns, scan the rest
-    once per distinct header with ``input_file_name``, then ``custom_rows``."""
-    groups: dict[tuple, list[str]] = {}
-    for path in list_files(spark, directory):
-        if os.path.basename(path) in RESERVED_NATIVE_FILES:
-            continue
-        try:
-            header = tuple(csv_header(spark, path))
-        except Exception:  # noqa: BLE001 - an unreadable file is skipped, like the reference
-            continue
-        if all(c in header for c in INGEST_COLUMNS):
-            groups.setdefault(header, []).append(path)
-    parts = []
-    for header, paths in groups.items():
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        parts.append(read_csv(spark, paths, schema).select(*INGEST_COLUMNS, decoded_path(F.input_file_name()).alias("_file")))
-    if not parts:
-        return None
-    return custom_rows(reduce(DataFrame.unionByName, parts))
+    """S3 over a directory: all ``*.csv`` headers in one scan, files lacking any of the
+    four ingest columns dropped, the rest scanned once per distinct header, then
+    ``custom_rows``."""
+    paths = list_files(spark, directory)
+    return Discovery(spark, paths).rows if paths else None
 
 
 def validate_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

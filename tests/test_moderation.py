@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from moderato.functions.present import batch_verdict, label_tags, ranked_scores, verdict_line
 from moderato.operators import requests as rq
 from moderato.operators.score import (ConstantScorer, MarkerScorer, PandasScorer, ShonaScorer,
-                                      batch_summary, marker_predictor, moderate)
+                                      batch_summary, marker_mapper, marker_predictor, moderate, observed_write)
 from moderato.schema import LABELS
 
 
@@ -111,3 +111,29 @@ def test_presentation(spark):
     assert out[1].v == "[EN] No toxicity detected" and out[1].g == "none"
     assert spark.range(1).select(batch_verdict(F.lit(2), F.lit(5)).alias("x")).first().x == \
         "Batch Result: 2 of 5 comments flagged"
+
+
+def test_both_models_in_one_pass(spark):
+    """Rows of both languages, blank ones and other columns of any kind: one scan, one pass, models
+    that leave labels out (P10), thresholds per row."""
+    rows = [(0, "you idiot", "en", {"toxic": 0.95}), (1, "ndichakuuraya", "sn", None), (2, "", "sn", {"toxic": 0.0}), (3, None, None, {"insult": 0.0}),
+            (4, "iwe benzi shamwari", "auto", {}), (5, "mhoro shamwari", "sn", None), (6, "you idiot", None, {"bogus": 0.0})]
+    df = spark.createDataFrame(rows, "id int, text string, lang string, limits map<string,double>")
+    df = df.withColumns({"score_toxic": F.lit("mine"), "nested": F.array(F.struct(F.col("id").alias("a")))})
+    m = moderate(df.drop("score_toxic"), "text", language=F.col("lang"), thresholds=F.col("limits"),
+                 en_scorer=PandasScorer(marker_mapper(), "e", batch_size=2),
+                 sn_scorer=ShonaScorer(PandasScorer(marker_mapper(["uraya"]), "s", batch_size=2)))
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow ") == 1
+    r = _rows(m)
+    assert r[0].score_toxic == 0.9 and r[0].score_threat == 0.0 and not r[0].is_toxic and r[6].is_toxic
+    assert r[1].score_threat == 0.9 and r[1].score_toxic == 0.95 and r[1].model == "s"
+    assert not r[2].is_toxic and r[3].flagged_labels == [] and r[3].language == "en"
+    assert r[4].language == "sn" and r[4].score_insult == 0.85 and r[5].score_toxic <= 0.02
+    assert r[4].nested == [(4,)] and r[0].limits == {"toxic": 0.95}
+
+
+def test_observed_write(spark, tmp_dir):
+    m = moderate(_frame(spark, ["kill it", "fine", "", "I HATE this", None]), "text")
+    seen, seconds = observed_write(m, tmp_dir + "/out", {"n": F.count(F.lit(1)), "bad": F.count_if(F.col("is_toxic"))})
+    assert seen == {"n": 5, "bad": 2} and seconds > 0 and spark.read.parquet(tmp_dir + "/out").count() == 5

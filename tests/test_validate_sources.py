@@ -88,6 +88,15 @@ def test_custom_discovery(spark, tmp_dir):
     out = src.discover_custom(spark, d).collect()
     assert sorted((r.comment_text_sn, r.source) for r in out) == [
         ("u1", "custom_my data"), ("x1", "custom_custom_a"), ("x2", "custom_custom_a")]
+    open(os.path.join(d, "nothing.csv"), "w").close()
+    _write(os.path.join(d, "custom_bare.csv"), "")                                  # a header and no row
+    _write(os.path.join(d, "custom_turned.csv"), '"a ""b"", c",1,threat,toxic\n', header="\ufefftext,severity,category,label\n")
+    found = src.Discovery(spark, src.list_files(spark, d))
+    verdicts = {r.name: (r.verdict, r.n_rows) for r in found.verdicts.collect()}
+    assert verdicts == {"custom_a.csv": ("kept", 2), "custom_bad.csv": ("bad_severity", 1), "custom_cols.csv": ("missing_columns", 0),
+                        "custom_shona_template.csv": ("template", 1), "train.csv": ("reserved", 0), "custom_suffix.csv": ("bad_severity", 1),
+                        "my data.csv": ("kept", 1), "custom_bare.csv": ("empty", 0), "custom_turned.csv": ("kept", 1)}
+    assert 'a "b", c' in {r.comment_text_sn for r in found.rows.collect()}
     x1 = [r for r in out if r.comment_text_sn == "x1"][0]
     assert (x1.toxic, x1.threat, x1.severe_toxic, x1.insult) == (1, 1, 1, 0)
 
