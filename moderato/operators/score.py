@@ -351,16 +351,11 @@ def observed_write(df: DataFrame, path: str, metrics: dict[str, Column]) -> tupl
 
 
 class CalibratedScorer(Scorer):
-    """U5 with a trained ``CalibratedModel``: document TF-IDF features, the
-    calibrated per-label probabilities, joined back on ``id_col`` (features
-    are per document, so this scorer shuffles once by id)."""
+    """U5 with a trained ``CalibratedModel``: TF-IDF features and calibrated
+    per-label probabilities, made where the rows lie."""
 
-    def __init__(self, model, id_col: str, name: str = "calibrated-shona"):
-        self.model, self.id_col, self.name = model, id_col, name
+    def __init__(self, model, name: str = "calibrated-shona"):
+        self.model, self.name = model, name
 
     def score(self, df: DataFrame, text_col: str) -> DataFrame:
-        feats = self.model.features(df, self.id_col, text_col)
-        probs = self.model.predict(feats).select(
-            self.id_col, *[F.col(f"prob_{l}").alias(score_col(l)) for l in LABELS])
-        return df.drop(*[c for c in SCORE_COLS if c in df.columns]).join(probs, self.id_col, "left") \
-            .withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in SCORE_COLS})
+        return self.model.predict(df, text_col, prefix=score_col(""))

@@ -758,16 +758,29 @@ def q_moderate_stream(spark, sf_dir):
 
 
 # ------------------------------------------------------------ training
+def _training_rows(spark, sf_dir):
+    """Drawn lines of the train and validation splits, scored ones only."""
+    return fx.drawn(spark, sf_dir).filter(scored_row()).withColumnRenamed("comment_text", "text")
+
+
 @query("train_calibrated")
 def q_train_calibrated(spark, sf_dir):
-    """T1 + T4: calibrated per-label models on the train split of the
-    annotated rows, metrics on its validation split (long form)."""
+    """T1 + T4: calibrated per-label models of the train split of drawn lines,
+    metrics on its validation split (long form)."""
     from moderato.operators.train import train_calibrated, validation_metrics
-    a = fx.annotated(spark, sf_dir)
-    labs = category_labels(F.col("category"), F.col("severity"), F.col("label") == "toxic")
-    rows = a.select("doc_id", "text", *[labs[l].alias(l) for l in LABELS])
-    split = smp.split_assign(rows.select("doc_id"), "doc_id").select("doc_id", "split")
-    rows = rows.join(split, "doc_id")
-    model = train_calibrated(rows.filter(F.col("split") == "train"), allow_small=True)
-    m = validation_metrics(model, rows.filter(F.col("split") == "validation"))
+    rows = _training_rows(spark, sf_dir)
+    model = train_calibrated(rows.filter("given = 'train'"), id_col="id")
+    m = validation_metrics(model, rows.filter("given = 'validation'"), id_col="id")
     return m.withColumn("value", _r(F.col("value")))
+
+
+@query("moderate_sn_trained")
+def q_moderate_sn_trained(spark, sf_dir):
+    """U5 with a trained scorer: the calibrated model, stored and loaded as a bundle (T5), behind the
+    whitelist and the floors, over mixed lines."""
+    from moderato.operators.score import CalibratedScorer
+    from moderato.operators.train import CalibratedModel, train_calibrated
+    path = scratch_path(spark, "bundle")
+    train_calibrated(_training_rows(spark, sf_dir).filter("given = 'train'"), id_col="id").save(path)
+    scorer = ShonaScorer(CalibratedScorer(CalibratedModel.load(spark, path)))
+    return moderated_view(moderate(fx.mixed(spark, sf_dir), "text", language="sn", sn_scorer=scorer), "id")
