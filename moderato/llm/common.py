@@ -14,7 +14,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more: what was made of it is staged itself."""
+    spark = staged.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged.staged_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+SIEVE_BITS = 1 << 27    # at most, of a sieve: 16 MB
+
+
+def sieve(rows: DataFrame, col: str, wanted: DataFrame, max_bits: int = SIEVE_BITS) -> DataFrame:
+    """The rows whose ``col`` is one of ``wanted``'s, and a few others: a bitmap over hashes, sized by the
+    count of ``wanted`` up to ``max_bits``, is broadcast in place of it, so the rows aren't shuffled."""
+    size = min(max_bits, max(1 << 15, 1 << (8 * wanted.count()).bit_length()))
+    at = F.xxhash64(col).bitwiseAND(F.lit(size - 1))
+    bits = wanted.select((at + 1).alias("_at")).groupBy((F.bitmap_bucket_number("_at") - 1).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    placed = rows.withColumns({"_bucket": F.shiftright(at, 15), "_place": at.bitwiseAND(F.lit((1 << 15) - 1)).cast("int")})
+    byte = F.expr("cast(conv(hex(substring(_bits, shiftright(_place, 3) + 1, 1)), 16, 10) AS int)")
+    hit = F.expr("shiftright(_byte, _place & 7) & 1 = 1")
+    found = placed.join(F.broadcast(bits), "_bucket").withColumn("_byte", byte).filter(hit)
+    return found.select(*rows.columns)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

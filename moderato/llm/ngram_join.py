@@ -13,13 +13,17 @@ A text is the set of its distinct 5-word shingles.  Two texts link when
    rare shingle or at least ``c + 1`` frequent ones, so that by the pigeonhole
    principle two of them fall into the same of ``c`` hash classes.  Pairs of
    frequent shingles within a class are indexed; a frequent one alone never is.
-3. Keys are resolved by components.  In star rounds each text is verified
+3. One shuffle brings the texts of a key together; a stream in its order keeps
+   only keys that several texts have, so most postings end there.  Keys are then resolved by
+   components.  In star rounds each text is verified
    against the hub with which it shares most keys.  Then, for each key
    whose texts aren't all in one component, the texts outside its largest
    component meet all the others, once; a pair goes on to verification if its
-   shared keys still allow the similarity.  Pairs inside one component need no
+   shared keys still allow the similarity.  Two extended prefixes hold all rare shingles of their texts, so these
+   overlap in no more than their shared rare keys and the smaller number of frequent shingles.  Pairs inside one component need no
    check, so a group of copies costs its size, not its square.
-4. Verification recomputes both sets from the whole texts and compares exactly.
+4. Verification recomputes both sets from the whole texts and compares exactly.  Only
+   texts that a bitmap of the pairs' ids lets through are moved for it.
 
 Shingles are 64-bit hashes.  Null or word-free texts have an empty set, link with
 nothing and are their own component.  Where rows repeat an id, the smallest of
@@ -36,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moderato.llm.common import components, documents, one_text_per_id, stage
+from moderato.llm.common import components, discard, documents, one_text_per_id, sieve, stage
 from moderato.llm.textbytes import blocks, mix, shingle_sets, utf8
 
 PERCENT = 80
 K = 5
-SKETCH_BITS = 18        # counters of the shingle sketch: fixed, whatever the input
-STAR_ROUNDS = 3
+SKETCH_BITS = (18, 24)  # counters of the shingle sketch, as powers of two: four a text, within these
+STAR_ROUNDS = 2
 MEMBERS_PER_TASK_KEY = 512
 
 _INFO = "kind int, id long, n int, digest binary, part int, counts binary"
@@ -115,11 +119,11 @@ def _classes(n: int) -> int:
 def prefix_keys(s: np.ndarray, ranks: np.ndarray, bits: int, percent: int):
     """The index keys of one set and the reach of each: a shared key makes two sets
     a pair only if for both ``reach <= n - (overlap that they need)``.  Also the order of
-    the prefix's last shingle and whether it was extended."""
+    the prefix's last shingle, whether it was extended, and which keys are one rare shingle."""
     n = len(s)
     base = n - _least(n, percent) + 1
     if n == 0:
-        return s[:0], np.zeros(0, np.int64), 0, False
+        return s[:0], np.zeros(0, np.int64), 0, False, np.zeros(0, bool)
     rank = ranks[s >> np.uint64(64 - bits)]
     order = np.lexsort((s, rank))
     s, rank = s[order], rank[order]
@@ -139,33 +143,94 @@ def prefix_keys(s: np.ndarray, ranks: np.ndarray, bits: int, percent: int):
                 keys.append(mix(mix(f[:-gap][same]) + np.uint64(3) * f[gap:][same] + np.uint64(c)))
                 reach.append(at[gap:][same])
     keys, reach = np.concatenate(keys), np.concatenate(reach)
-    order = np.lexsort((reach, keys))
-    keys, reach = keys[order], reach[order]
+    single = np.arange(len(keys)) < rare
+    order = np.lexsort((reach, ~single, keys))
+    keys, reach, single = keys[order], reach[order], single[order]
     once = np.append(True, keys[1:] != keys[:-1])[:len(keys)]
     last = s[base - 1] >> np.uint64(1)
-    return keys[once], reach[once], int(last), rare < base
+    return keys[once], reach[once], int(last), rare < base, single[once]
 
 
-_POST = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("last", pa.int64()), ("ext", pa.bool_()),
-                   ("reach", pa.int32())])
+#: A posting's ``info``: set size, reach of the key, whether the prefix was extended and whether the key is one rare shingle.
+_POST = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("info", pa.int64()), ("n", pa.int32()), ("last", pa.int64()),
+                   ("ext", pa.bool_()), ("frequent", pa.int32())])
+_POST_SQL = "key long, id long, info long, n int, last long, ext boolean, frequent int"
+
+
+def _n(info: str) -> str:
+    return f"shiftright({info}, 32)"
+
+
+def _reach(info: str) -> str:
+    return f"(shiftright({info}, 2) & 1073741823)"
+
+
+def _ext(info: str) -> str:
+    return f"(({info} & 2) <> 0)"
 
 
 def _index(k: int, bits: int, percent: int, shared):
+    """Postings of each text, and one row without a key that tells of the text itself."""
     def run(batches):
         ranks = shared.value
         for batch in batches:
             ids = batch.column(0)
             for a, b, sets in _sets(batch, 1, k):
                 found = [prefix_keys(s, ranks, bits, percent) for s in sets]
-                size = [len(x[0]) for x in found]
-                if sum(size):
-                    rep = lambda v, t: np.repeat(np.array(v, t), size)
+                size = np.array([len(x[0]) for x in found], np.int64)
+                own = ids.slice(a, b - a)
+                n = np.array([len(s) for s in sets], np.int64)
+                frequent = np.array([int((ranks[s >> np.uint64(64 - bits)] > 0).sum()) for s in sets], np.int64)
+                ext = np.array([x[3] for x in found], bool)
+                m = len(sets)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), own, pa.nulls(m, pa.int64()), pa.array(n.astype(np.int32)),
+                                                  pa.array([x[2] for x in found], pa.int64()), pa.array(ext), pa.array(frequent.astype(np.int32))], schema=_POST)
+                total = int(size.sum())
+                if total:
+                    info = (np.repeat(n << 32 | ext.astype(np.int64) << 1, size) | np.concatenate([x[1] for x in found]) << 2
+                            | np.concatenate([x[4] for x in found]).astype(np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([x[0] for x in found]).view(np.int64)),
-                         ids.slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), size))),
-                         pa.array(rep([len(s) for s in sets], np.int32)),
-                         pa.array(rep([x[2] for x in found], np.int64)), pa.array(rep([x[3] for x in found], bool)),
-                         pa.array(np.concatenate([x[1] for x in found]).astype(np.int32))], schema=_POST)
+                        [pa.array(np.concatenate([x[0] for x in found]).view(np.int64)), own.take(pa.array(np.repeat(np.arange(m), size))),
+                         pa.array(info), pa.nulls(total, pa.int32()), pa.nulls(total, pa.int64()), pa.nulls(total, pa.bool_()), pa.nulls(total, pa.int32())],
+                        schema=_POST)
+    return run
+
+
+_HUBS = "key long, id long, info long, hub long, hub_info long"
+
+
+def _with_hubs(labelled: bool):
+    """Rows in the order of keys: each row of a key that others have, with the key's first row
+    as its hub.  With labels (a further column) only rows of other components than the hub's."""
+    def run(batches):
+        key = hub = hub_info = label = None
+        held = None                      # the first row of a key, until a second one comes
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys, ids, infos = (batch.column(i).to_numpy() for i in range(3))
+            first = np.append(keys[:1] != key if key is not None else [True], keys[1:] != keys[:-1])
+            start = np.maximum.accumulate(np.where(first, np.arange(n), -1))
+            mine = start >= 0            # whose key starts in this batch
+            hubs = np.where(mine, ids[start], hub if hub is not None else 0)
+            hub_infos = np.where(mine, infos[start], hub_info if hub_info is not None else 0)
+            if labelled:
+                labels = batch.column(3).to_numpy()
+                take = labels != np.where(mine, labels[start], label if label is not None else 0)
+                label = int(labels[start[-1]]) if mine[-1] else label
+                keep = np.flatnonzero(take)
+            else:
+                alone = first & np.append(first[1:], False)
+                if held is not None and not first[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*held, held[1], held[2])], names=["key", "id", "info", "hub", "hub_info"])
+                held = None
+                if first[-1]:            # may yet be alone
+                    alone[-1] = True
+                    held = (int(keys[-1]), int(ids[-1]), int(infos[-1]))
+                keep = np.flatnonzero(~alone)
+            key, hub, hub_info = int(keys[-1]), int(hubs[-1]), int(hub_infos[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (keys, ids, infos, hubs, hub_infos)], names=["key", "id", "info", "hub", "hub_info"])
     return run
 
 
@@ -198,26 +263,26 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = K, percent: int = PERCEN
     dealt = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     hubs = size.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
     rows = dealt.select("a", "part", "b", F.col("b").alias("id")).unionByName(hubs.select("a", "part", "b", F.col("a").alias("id")))
-    rows = rows.join(texts, "id").select("a", "part", "b", "text")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    rows = rows.join(sieve(texts, "id", ids), "id").select("a", "part", "b", "text")
     return (rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
             .mapInArrow(_compare(k, percent), "a long, b long, shared int"))
 
 
-def _best_hubs(posts: DataFrame, hub) -> DataFrame:
-    """For each text the hub of another component with which it shares most keys."""
-    hubs = posts.groupBy("key").agg(F.min_by(F.struct("id", "n", "component", "ext", "reach"), hub).alias("h"))
-    met = (posts.join(hubs, "key").filter("h.id <> id AND h.component <> component")
-           .filter(_may_link("", "h.")).groupBy("id", F.col("h.id").alias("hub")).agg(F.count(F.lit(1)).alias("c")))
-    best = met.groupBy("id").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    return best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-
-
 def _may_link(x: str, y: str, percent: int = PERCENT):
     """Whether the sizes allow the similarity and, for two extended prefixes, the key
-    lies within what the overlap that these sizes need leaves of both."""
-    need = f"ceil({percent} * ({x}n + {y}n) / {100 + percent}D)"
-    return F.expr(f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) AND (NOT ({x}ext AND {y}ext) OR "
-                  f"{x}reach <= {x}n - {need} AND {y}reach <= {y}n - {need})")
+    lies within what the overlap that these sizes need leaves of both.  ``x`` and ``y`` name postings' infos."""
+    nx, ny = _n(x), _n(y)
+    need = f"ceil({percent} * ({nx} + {ny}) / {100 + percent}D)"
+    return F.expr(f"100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny}) AND (NOT ({_ext(x)} AND {_ext(y)}) OR "
+                  f"{_reach(x)} <= {nx} - {need} AND {_reach(y)} <= {ny} - {need})")
+
+
+def _best_hubs(rows: DataFrame) -> DataFrame:
+    """For each text the hub with which it shares most keys."""
+    met = rows.filter("id <> hub").filter(_may_link("info", "hub_info")).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("c"))
+    best = met.groupBy("id").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    return best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
@@ -225,71 +290,83 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id, n_shingles, component`` for every row; ``component`` is the smallest
     id reachable by links of at least ``percent`` per cent similarity."""
     spark = docs.sparkSession
+    bits = min(max((4 * docs.count()).bit_length() - 1, SKETCH_BITS[0]), SKETCH_BITS[1])
     every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = one_text_per_id(every)
-    info = stage(every.mapInArrow(_profile(k, SKETCH_BITS), _INFO), "shingle-sets")
-    ranks = spark.sparkContext.broadcast(frequent_ranks(_sketch(info, SKETCH_BITS)))
+    info = stage(every.mapInArrow(_profile(k, bits), _INFO), "shingle-sets")
+    ranks = spark.sparkContext.broadcast(frequent_ranks(_sketch(info, bits)))
     sized = info.filter("kind = 0").select("id", "n", "digest")
     heads = sized.filter("n > 0").groupBy("digest").agg(F.min("id").alias("head"))
     classes = stage(sized.join(heads, "digest", "left")
                     .select("id", "n", F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("id")).alias("head")), "classes")
+    discard(info)
 
-    texts = every.filter("id IS NOT NULL")
-    posts = stage(texts.mapInArrow(_index(k, SKETCH_BITS, percent, ranks), "key long, id long, n int, last long, ext boolean, reach int"), "postings")
-    keys = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    only = classes.filter("id = head").select("id").distinct()
-    posts = stage(posts.join(keys, "key").join(only, "id", "left_semi").withColumn("component", F.col("id")), "shared")
+    # A copy that the sieve lets through does no harm: it links with its head.
+    texts = sieve(every.filter("id IS NOT NULL"), "id", classes.filter("n > 0 AND id = head").select("id"))
+    index = stage(texts.mapInArrow(_index(k, bits, percent, ranks), _POST_SQL), "postings")
+    posts = index.filter("key IS NOT NULL").select("key", "id", "info")
+    posts = stage(posts.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_with_hubs(False), _HUBS), "shared")
+    about = stage(index.filter("key IS NULL").select("id", "n", "last", "ext", "frequent"), "texts")
+    discard(index)
 
     links = None
     for turn in range(STAR_ROUNDS):
-        pairs = stage(_best_hubs(posts, F.xxhash64(F.lit(turn), "id") if turn else F.col("id")), "stars")
+        if turn:
+            order = [F.xxhash64(F.lit(turn), "id"), F.col("id")]
+            rows = _labelled(posts, links).repartition("key").sortWithinPartitions("key", *order).mapInArrow(_with_hubs(True), _HUBS)
+        else:
+            rows = posts
+        pairs = stage(_best_hubs(rows), "stars")
         found = verify(pairs, texts, k, percent).select("a", "b")
         links = stage(found if links is None else links.unionByName(found), "links")
-        posts = _relabelled(posts, links)
-    pairs = stage(_crossing(posts, percent), "crossing")
+    pairs = stage(_crossing(_unresolved(_labelled(posts, links)), about, percent), "crossing")
     links = stage(links.unionByName(verify(pairs, texts, k, percent).select("a", "b")), "links")
+    discard(posts)
     joined = components(links)
     out = classes.join(joined, F.col("head") == F.col("node"), "left")
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "head").alias("component"))
 
 
-def _relabelled(posts: DataFrame, links: DataFrame) -> DataFrame:
-    """The postings with their components of now, without the keys that lie in one component."""
-    label = components(links).withColumnRenamed("component", "now")
-    return stage(_unresolved(posts.join(label, posts["id"] == label["node"], "left")
-                             .select("key", "id", "n", "last", "ext", "reach", F.coalesce("now", "id").alias("component"))), "labelled")
+def _labelled(posts: DataFrame, links: DataFrame) -> DataFrame:
+    """``key, id, info`` with the components of now."""
+    label = components(links).select(F.col("node").alias("id"), "component")
+    return posts.select("key", "id", "info").join(label, "id", "left").select("key", "id", "info", F.coalesce("component", "id").alias("component"))
 
 
 def _unresolved(posts: DataFrame) -> DataFrame:
     """Postings of keys whose texts aren't all in one component."""
+    posts = stage(posts, "labelled")
     keys = posts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    return posts.join(keys, "key", "left_semi")
+    out = stage(posts.join(keys, "key", "left_semi"), "unresolved")
+    discard(posts)
+    return out
 
 
-def _crossing(posts: DataFrame, percent: int) -> DataFrame:
+def _crossing(posts: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` that share a key, lie in different components and may
     still reach the similarity.
 
     For a key, every such pair has an end outside the key's largest component.
     Without extended prefixes the shared keys are all shared shingles up to the
     earlier of the prefixes' ends, and those after it are at most what
-    is left of that text."""
+    is left of that text.  With two extended ones all rare shingles of both are keys."""
     size = posts.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     major = size.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"))
     tagged = posts.join(major, "key").withColumn("inner", F.col("component") == F.col("major")).drop("major")
     x, y = tagged.filter("NOT inner").alias("x"), tagged.alias("y")
-    met = x.join(y, F.expr("x.key = y.key AND x.component <> y.component AND (y.inner OR x.id < y.id)") & _may_link("x.", "y.", percent))
-    pair = met.select(*[F.when(F.expr("x.id < y.id"), F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(f"{e}{c}")
-                        for e, p, q in (("a", "x", "y"), ("b", "y", "x")) for c in ("id", "n", "last", "ext")])
-    grouped = pair.groupBy("aid", "bid").agg(F.count(F.lit(1)).alias("c"), *[F.first(f"{e}{c}").alias(f"{e}{c}")
-                                             for e in "ab" for c in ("n", "last", "ext")])
+    met = x.join(y, F.expr("x.key = y.key AND x.component <> y.component AND (y.inner OR x.id < y.id)") & _may_link("x.info", "y.info", percent))
+    pair = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.expr("x.info & 1").alias("rare"))
+    pair = pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.sum("rare").alias("rare"))
+    for e in "ab":
+        pair = pair.join(about.select(F.col("id").alias(e), *[F.col(c).alias(e + c) for c in ("n", "last", "ext", "frequent")]), e)
+    need = F.expr(f"ceil({percent} * (an + bn) / {100 + percent}D)")
     left = lambda e: F.expr(f"ceil({percent} * {e}n / 100D) - 1")  # noqa: E731  what follows the prefix
     rest = F.when(F.col("alast") < F.col("blast"), left("a")).when(F.col("alast") > F.col("blast"), left("b")).otherwise(
         F.greatest(left("a"), left("b")))
-    rest = F.when(F.col("rare_last"), rest).otherwise(F.greatest(left("a"), left("b")))
-    grouped = grouped.withColumn("rare_last", F.expr("NOT aext AND NOT bext"))
-    reach = (F.col("c") + rest) * (100 + percent) >= F.lit(percent) * (F.col("an") + F.col("bn"))
-    return grouped.filter(F.expr("aext AND bext") | reach).select(F.col("aid").alias("a"), F.col("bid").alias("b"))
+    rest = F.when(F.expr("NOT aext AND NOT bext"), rest).otherwise(F.greatest(left("a"), left("b")))
+    both = F.expr("aext AND bext")
+    overlap = F.when(both, F.col("rare") + F.least("afrequent", "bfrequent")).otherwise(F.col("c") + rest)
+    return pair.filter(overlap >= need).select("a", "b")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

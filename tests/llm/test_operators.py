@@ -82,7 +82,7 @@ def test_ngram_join_odd_tables(spark):
 def test_extended_prefixes_share_a_key():
     """Linked sets of frequent shingles alone meet, at a key within both reaches."""
     rng = np.random.default_rng(3)
-    ranks = np.ones(1 << ngram_join.SKETCH_BITS, np.int64)
+    ranks = np.ones(1 << 18, np.int64)
     for _ in range(60):
         n = int(rng.integers(5, 300))
         x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
@@ -91,7 +91,7 @@ def test_extended_prefixes_share_a_key():
         if 100 * both < 80 * (len(x) + len(y) - both) or np.array_equal(x, y):
             continue
         need = -(-80 * (len(x) + len(y)) // 180)
-        (kx, rx, _, _), (ky, ry, _, _) = (ngram_join.prefix_keys(s, ranks, ngram_join.SKETCH_BITS, 80) for s in (x, y))
+        (kx, rx, *_), (ky, ry, *_) = (ngram_join.prefix_keys(s, ranks, 18, 80) for s in (x, y))
         _, i, j = np.intersect1d(kx, ky, return_indices=True)
         assert ((rx[i] <= len(x) - need) & (ry[j] <= len(y) - need)).any()
 
