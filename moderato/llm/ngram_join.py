@@ -13,6 +13,8 @@ A text is the set of its distinct 5-word shingles.  Two texts link when
    rare shingle or at least ``c + 1`` frequent ones, so that by the pigeonhole
    principle two of them fall into the same of ``c`` hash classes.  Pairs of
    frequent shingles within a class are indexed; a frequent one alone never is.
+   A text with less than 80 per cent frequent shingles needs no pairs: its links share
+   a rare shingle, and an extended prefix holds all of these.
 3. One shuffle brings the texts of a key together; a stream in its order keeps
    only keys that several texts have, so most postings end there.  Keys are then resolved by
    components.  In star rounds each text is verified
@@ -129,7 +131,8 @@ def prefix_keys(s: np.ndarray, ranks: np.ndarray, bits: int, percent: int):
     s, rank = s[order], rank[order]
     rare = int(np.searchsorted(rank[:base], 0, "right"))
     keys, reach = [s[:rare]], [np.arange(rare)]
-    if rare < base:
+    # With fewer frequent shingles than any link needs in common, a link shares a rare one, and all rare ones are keys.
+    if rare < base and n - int(np.searchsorted(rank, 0, "right")) >= _least(n, percent):
         for c in sorted({_classes(n), _classes(_least(n, percent))}):
             f = s[rare:min(n, base + c)]
             cls = (mix(f) & np.uint64(c - 1)).astype(np.int64)
@@ -319,7 +322,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = stage(_best_hubs(rows), "stars")
         found = verify(pairs, texts, k, percent).select("a", "b")
         links = stage(found if links is None else links.unionByName(found), "links")
-    pairs = stage(_crossing(_unresolved(_labelled(posts, links)), about, percent), "crossing")
+    open_keys = _unresolved(_labelled(posts, links).join(about.select("id", "frequent"), "id"))
+    pairs = stage(_crossing(open_keys, about, percent), "crossing")
     links = stage(links.unionByName(verify(pairs, texts, k, percent).select("a", "b")), "links")
     discard(posts)
     joined = components(links)
@@ -349,12 +353,15 @@ def _crossing(posts: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     For a key, every such pair has an end outside the key's largest component.
     Without extended prefixes the shared keys are all shared shingles up to the
     earlier of the prefixes' ends, and those after it are at most what
-    is left of that text.  With two extended ones all rare shingles of both are keys."""
+    is left of that text.  With two extended ones all rare shingles of both are keys, so a pair
+    that needs more than its frequent shingles meets at a rare key, and pair keys only serve the others."""
     size = posts.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     major = size.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"))
     tagged = posts.join(major, "key").withColumn("inner", F.col("component") == F.col("major")).drop("major")
     x, y = tagged.filter("NOT inner").alias("x"), tagged.alias("y")
-    met = x.join(y, F.expr("x.key = y.key AND x.component <> y.component AND (y.inner OR x.id < y.id)") & _may_link("x.info", "y.info", percent))
+    need = f"ceil({percent} * ({_n('x.info')} + {_n('y.info')}) / {100 + percent}D)"
+    apart = F.expr(f"x.key = y.key AND x.component <> y.component AND (y.inner OR x.id < y.id) AND (x.info & 1 = 1 OR least(x.frequent, y.frequent) >= {need})")
+    met = x.join(y, apart & _may_link("x.info", "y.info", percent))
     pair = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.expr("x.info & 1").alias("rare"))
     pair = pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.sum("rare").alias("rare"))
     for e in "ab":
