@@ -24,8 +24,9 @@ A text is the set of its distinct 5-word shingles.  Two texts link when
    shared keys still allow the similarity.  Two extended prefixes hold all rare shingles of their texts, so these
    overlap in no more than their shared rare keys and the smaller number of frequent shingles.  Pairs inside one component need no
    check, so a group of copies costs its size, not its square.
-4. Verification recomputes both sets from the whole texts and compares exactly.  Only
-   texts that a bitmap of the pairs' ids lets through are moved for it.
+4. Verification recomputes both sets from the whole texts and compares exactly.  The pairs go to
+   the texts while they are few, by count; beyond that only texts that a bitmap of the pairs' ids lets through
+   are shuffled to them.
 
 Shingles are 64-bit hashes.  Null or word-free texts have an empty set, link with
 nothing and are their own component.  Where rows repeat an id, the smallest of
@@ -50,6 +51,7 @@ K = 5
 SKETCH_BITS = (18, 24)  # counters of the shingle sketch, as powers of two: four a text, within these
 STAR_ROUNDS = 2
 MEMBERS_PER_TASK_KEY = 512
+BROADCAST_PAIRS = 1 << 20   # pairs to verify, up to two rows of 40 bytes each, that are sent to the texts; more meet them in a shuffle
 
 _INFO = "kind int, id long, n int, digest binary, part int, counts binary"
 
@@ -266,8 +268,12 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int = K, percent: int = PERCEN
     dealt = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     hubs = size.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
     rows = dealt.select("a", "part", "b", F.col("b").alias("id")).unionByName(hubs.select("a", "part", "b", F.col("a").alias("id")))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = rows.join(sieve(texts, "id", ids), "id").select("a", "part", "b", "text")
+    if pairs.count() <= BROADCAST_PAIRS:
+        rows = texts.join(F.broadcast(rows), "id")
+    else:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        rows = rows.join(sieve(texts, "id", ids), "id")
+    rows = rows.select("a", "part", "b", "text")
     return (rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
             .mapInArrow(_compare(k, percent), "a long, b long, shared int"))
 

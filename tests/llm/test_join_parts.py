@@ -78,3 +78,13 @@ def test_groups_that_share_a_passage_below_the_similarity(spark):
             root = {k: lo if v == hi else v for k, v in root.items()}
     assert out == root
     assert sum(seen) < 6 * len(rows)
+
+
+def test_many_pairs_meet_the_texts_in_a_shuffle(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(9)}" for _ in range(12))) for i in range(60)]
+    rows += [(100 + i, t + (" z" if i % 2 else "")) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few = ngram_join.jaccard_classes(df).orderBy("id").collect()
+    monkeypatch.setattr(ngram_join, "BROADCAST_PAIRS", 0)
+    assert ngram_join.jaccard_classes(df).orderBy("id").collect() == few
