@@ -214,8 +214,18 @@ def _matches_plain(spark, items, texts):
     weight = {g: 1 / len(s) for g, s in shared.items()}
     want = {(d, i): s for d, t in texts for i, x in items if (s := _plain_similarity(t, x, weight)) >= 0.8 - 1e-9}
     got = decontaminate.contaminated(_frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r.id, r.item): round(r.similarity, 6) for r in got} == {x: round(s, 6) for x, s in want.items()}
-    return want
+    got = {(r.id, r.item): r.similarity for r in got}
+    assert all(abs(want[x] - s) < 1e-6 for x, s in got.items())        # nothing else, and the exact similarity
+    return want, got
+
+
+def _recall(want, got):
+    """By similarity: 0.8 to 0.85, to 0.9, to 0.95, to 1."""
+    out = {}
+    for lo in (0.8, 0.85, 0.9, 0.95):
+        mine = [x for x, s in want.items() if lo - 1e-9 <= s < lo + 0.05 - 1e-9 or lo == 0.95 and s > 0.95 - 1e-9]
+        out[lo] = (len(mine), sum(x in got for x in mine) / max(1, len(mine)))
+    return out
 
 
 def test_decontamination_finds_partial_quotes(spark):
@@ -230,8 +240,19 @@ def test_decontamination_finds_partial_quotes(spark):
             a = rng.randrange(1, n)
             texts.append(f"{' '.join(w[:a])} {_text(rng, len(w) - n)} {' '.join(w[a + len(w) - n:])} {_text(rng, 30)}")     # spliced
         texts.append(f"{_text(rng, 5)} {_edited(rng, t, 1)} {_text(rng, 20)}")
-    want = _matches_plain(spark, items, list(enumerate(texts)))
+    want, got = _matches_plain(spark, items, list(enumerate(texts)))
     assert sum(s < 0.95 for s in want.values()) > 50
+    assert all(r >= 0.9 for _, r in _recall(want, got).values()), _recall(want, got)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    # The fingerprints decide: a radius of 0 finds only whole quotes, meaningless fingerprints next to nothing.
+    none = decontaminate.contaminated(_frame(spark, list(enumerate(texts))), bench, radius=0).count()
+    assert none < len(got) / 4
+    real = decontaminate.simhash
+    decontaminate.simhash = lambda f, keys: real(f, keys).withColumn("fingerprint", F.xxhash64(*keys))
+    try:
+        assert decontaminate.contaminated(_frame(spark, list(enumerate(texts))), bench).count() < len(got) / 4
+    finally:
+        decontaminate.simhash = real
 
 
 def test_decontamination_counts_each_window_once(spark):
@@ -239,7 +260,8 @@ def test_decontamination_counts_each_window_once(spark):
     head, long_end, short_end = _text(rng, 24), _text(rng, 16), _text(rng, 8)
     items = [(0, f"{head} {long_end}"), (1, f"{head} {short_end}")]
     texts = [(0, f"{head} {_text(rng, 40)}"), (1, f"{head} {long_end}"), (2, f"{_text(rng, 3)} {head} {short_end} {_text(rng, 9)}")]
-    _matches_plain(spark, items, texts)
+    want, got = _matches_plain(spark, items, texts)
+    assert set(want) == set(got)
 
 
 def test_decontamination_weighs_a_common_template(spark):
@@ -248,7 +270,16 @@ def test_decontamination_weighs_a_common_template(spark):
     own = [_text(rng, 30) for _ in range(100)]
     items = [(i, f"{template} {t}") for i, t in enumerate(own)]
     texts = [(i, f"{_text(rng, 40)} {t} {_text(rng, 25)}") for i, t in enumerate(own[:20])] + [(100, f"{_text(rng, 8)} {template} {_text(rng, 40)}")]
-    assert set(_matches_plain(spark, items, texts)) == {(i, i) for i in range(20)}
+    want, got = _matches_plain(spark, items, texts)
+    assert set(want) == {(i, i) for i in range(20)} and len(got) >= 19
+
+
+def test_radius_and_repeated_words(spark):
+    assert decontaminate.radius_of(0.8) == 18 and decontaminate.radius_of(1.0) == 0
+    items = [(0, "a " * 30), (1, "b c " * 12)]
+    texts = [(0, "a " * 3000), (1, "x " * 400 + "b c " * 500), (2, "a a a a b c b c")]
+    want, got = _matches_plain(spark, items, texts)
+    assert set(got) == set(want) == {(0, 0), (1, 1)}
 
 
 def test_hamming_blocks_find_all_within_radius(spark):
@@ -257,11 +288,11 @@ def test_hamming_blocks_find_all_within_radius(spark):
     for i in range(200):
         x = rng.getrandbits(64)
         y = x
-        for b in rng.sample(range(64), rng.randrange(decontaminate.RADIUS + 1)):
+        for b in rng.sample(range(64), rng.randrange(19)):
             y ^= 1 << b
         pairs.append((i, x - (1 << 63), y - (1 << 63)))
     df = spark.createDataFrame(pairs, "i int, x long, y long")
-    both = df.select(F.arrays_overlap(decontaminate.blocks(F.col("x")), decontaminate.blocks(F.col("y"))).alias("met"))
+    both = df.select(F.arrays_overlap(decontaminate.blocks(F.col("x"), 18), decontaminate.blocks(F.col("y"), 18)).alias("met"))
     assert both.filter("NOT met").count() == 0
 
 
