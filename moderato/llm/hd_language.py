@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moderato.llm.common import documents
 from moderato.llm.textbytes import blocks
@@ -101,11 +102,13 @@ def _bundles(dim: int):
                 code = np.array([names.index(x) for x in langs[a:b]])
                 gram, where = np.unique(grams, return_inverse=True)
                 counts = np.bincount(code[row] * len(gram) + where, minlength=len(names) * len(gram))
-                made = counts.reshape(len(names), -1).astype(np.float32) @ _bound(gram, dim)
+                counts = counts.reshape(len(names), -1)
+                exact = np.float32 if counts.sum(axis=1).max() < 1 << 24 else np.float64     # sums of so many +-1
+                made = (counts.astype(exact) @ _bound(gram, dim).astype(exact, copy=False)).astype(np.int64)
                 for i, x in enumerate(names):
                     total[x] = total.get(x, 0) + made[i]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.string()), pa.array([v.astype(np.int64).tolist() for v in total.values()], pa.list_(pa.int64()))],
+            [pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))],
             names=["lang", "bundle"])
     return run
 
@@ -128,10 +131,11 @@ def prototypes(labelled: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
     return out
 
 
-def _predict(dim: int, names: list[str], protos: np.ndarray):
+def _predict(dim: int, names: list[str], protos: np.ndarray, columns: list[str]):
+    """The text is the last column; it gives way to the prediction."""
     def run(batches):
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             for a, b in _text_blocks(texts) if names else ():
                 row, grams = trigrams(texts[a:b])
@@ -145,9 +149,7 @@ def _predict(dim: int, names: list[str], protos: np.ndarray):
                 for i in np.unique(row).tolist():
                     lang[a + i] = names[best[i]]
                     score[a + i] = min(1.0, max(0.0, float(cosine[i, best[i]])))
-            kept = [batch.column(i) for i, x in enumerate(batch.schema.names) if x != "_text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*(x for x in batch.schema.names if x != "_text"), "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=columns)
     return run
 
 
@@ -157,12 +159,17 @@ def predict_language(docs: DataFrame, learned: dict[str, np.ndarray], text_col:
     cosine (0 to 1).  ``lang_out`` and ``score_out`` replace columns of those names."""
     names = list(learned)
     protos = np.stack([learned[x] for x in names]).astype(np.float32) if names else np.zeros((0, dim), np.float32)
-    kept = docs.drop(lang_out, score_out)
-    ins = kept.withColumn("_text", F.col(text_col).cast("string")) if text_col in kept.columns else kept.withColumn(
-        "_text", docs[text_col].cast("string"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    out = ins.mapInArrow(_predict(dim, names, protos), f"{fields}, _lang string, _score double")
-    return out.withColumnRenamed("_lang", lang_out).withColumnRenamed("_score", score_out)
+    kept = [c for c in docs.columns if c not in (lang_out, score_out)]
+    ins = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias(unused(docs, "text")))
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    return ins.mapInArrow(_predict(dim, names, protos, [*kept, lang_out, score_out]), schema)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
 
 
 def held_out(id_col: Column) -> Column:

@@ -62,6 +62,17 @@ LICENCES = {
     "all rights reserved": ("reserved", 5),
 }
 
+#: Words that open well-known notices, their label and grade.
+NOTICES = {
+    "permission is hereby granted free of charge to any person obtaining a copy": ("mit", 1),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", 1),
+    "redistribution and use in source and binary forms with or without modification": ("bsd", 1),
+    "you may not use this file except in compliance with the license": ("apache-2.0", 1),
+    "this source code form is subject to the terms of the mozilla public license": ("mpl-2.0", 2),
+    "this program is free software you can redistribute it and or modify": ("gpl", 3),
+    "this is free and unencumbered software released into the public domain": ("unlicense", 0),
+}
+
 #: Exceptions that may stand after ``with``.
 EXCEPTIONS = {"classpath exception 2 0": "classpath-exception-2.0", "gcc exception 3 1": "gcc-exception-3.1",
               "llvm exception": "llvm-exception", "linking exception": "linking-exception"}
@@ -86,7 +97,7 @@ _NEXT_LINE = re.compile(rb"[ \t\r]*(?:\n[^0-9A-Za-z\x80-\xff()\n]*)?")      # wi
 def _automaton():
     import ahocorasick
     a = ahocorasick.Automaton()
-    for phrase in {*BASE, *LICENCES, *ANCHORS}:
+    for phrase in {*BASE, *LICENCES, *NOTICES, *ANCHORS}:
         a.add_word(f" {phrase} ", phrase)
     a.make_automaton()
     return a
@@ -242,17 +253,21 @@ def scan(text: bytes) -> dict:
     words = text.translate(_TO_WORDS).split()
     line = " " + b" ".join(words).decode("utf-8", "replace") + " "
     base, base_labels, named, best = [], set(), {}, None
-    grade, expressions = None, []
-    for end, phrase in _automaton().iter(line):
+    grade, expressions, hits = None, [], list(_automaton().iter(line))
+    if hits:        # a hit's word is as many as there are spaces before it
+        spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
+        word = lambda start: int(np.searchsorted(spaces, start))
+    for end, phrase in hits:
         start = end - len(phrase) - 1
         if phrase in BASE:
-            base.append(line.count(" ", 0, start))
+            base.append(word(start))
             base_labels.add(BASE[phrase])
-        if phrase in LICENCES and " " in phrase and phrase != "all rights reserved":
+        if (phrase in NOTICES or phrase in LICENCES and " " in phrase) and phrase != "all rights reserved":
             named[start] = phrase                   # ends go up, so the longest from a place stays
         if phrase in ANCHORS:
-            expressions.append((line.count(" ", 0, start) + len(phrase.split()), phrase == ANCHORS[0]))
-    labels, evaluated = set(base_labels) | {LICENCES[p][0] for p in named.values()}, []
+            expressions.append((word(start) + len(phrase.split()), phrase == ANCHORS[0]))
+    known = LICENCES | NOTICES
+    labels, evaluated = set(base_labels) | {known[p][0] for p in named.values()}, []
     if expressions:
         at = [m.end() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", text)]
         for k, tag in expressions:
@@ -263,8 +278,8 @@ def scan(text: bytes) -> dict:
                 labels |= best[0]
                 grade = best[1] if grade is None else max(grade, best[1])
     if grade is None and named:
-        grade = max(LICENCES[p][1] for p in named.values())
-    if "reserved" in base_labels:
+        grade = max(known[p][1] for p in named.values())
+    if grade is None and "reserved" in base_labels:     # a copyright line beside a licence reserves nothing that it grants
         grade = 5
     score = 1.0 if evaluated else 0.8 if labels - {"reserved"} else 0.5 if labels else 0.0
     return {"n_words": len(words), "n_base": len(base), "first_word": min(base, default=None), "last_word": max(base, default=None),

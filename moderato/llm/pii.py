@@ -3,7 +3,7 @@
 Base spans are the matches of four patterns (``pii_rules``).  A
 bidirectional LSTM with CRF transitions learns characters' tags (outside,
 begin and inside of each kind) from the base spans of a bounded sample:
-``SAMPLE`` windows of the whole table, taken by hash, of which half may be
+``SAMPLE`` distinct windows of the whole table, taken by hash, of which half may be
 without a span.  A third of the phone numbers learned have their plus sign taken out, so that the tagger
 also learns numbers that the patterns miss.
 
@@ -93,13 +93,26 @@ def _without_plus(text: str, tags: np.ndarray) -> tuple[str, np.ndarray]:
     return "".join(c for c, k in zip(text, keep, strict=True) if k), np.concatenate([kept, np.zeros(WINDOW - len(kept), np.int8)])
 
 
+def _distinct(windows: DataFrame, n: int) -> list:
+    """The ``n`` distinct windows with the smallest keys.  Only windows below a key that about four times as
+    many lie below are made distinct; the bound is widened if copies leave too few."""
+    place = F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long")
+    part = 4 * n / max(1, windows.agg(F.approx_count_distinct("key")).first()[0])
+    while True:
+        below = windows.filter(place < int(min(1.0, part) * (1 << 56)) + 1)
+        got = below.select("key", "text", "tags", "some").distinct().orderBy("key", "text", "tags").limit(n).collect()
+        if len(got) == n or part >= 1:
+            return got
+        part *= 4
+
+
 def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, epochs: int = EPOCHS) -> Tagger | None:
     """A tagger fitted to the base spans of a sample of at most ``sample`` windows."""
     texts = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(ANCHOR.pattern))
     found = stage(texts.mapInArrow(_samples, "key binary, text string, tags binary, some boolean"), "tagged-windows")
     rows = []
     for some in (True, False):
-        rows += found.filter(F.col("some") == some).orderBy("key", "text", "tags").limit(sample // 2).collect()
+        rows += _distinct(found.filter(F.col("some") == some), sample // 2)
     if not any(r["some"] for r in rows):
         return None
     pick, codes, tags = random.Random(5), [], []

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moderato.llm.decontaminate import contaminated
-from moderato.llm.hd_language import UNDETERMINED, learn_from, predict_language
+from moderato.llm.hd_language import UNDETERMINED, learn_from, predict_language, unused
 from moderato.llm.ngram_join import jaccard_classes
 from moderato.llm.packing import pack_documents
 from moderato.llm.pii import learn, redact
@@ -21,8 +21,9 @@ from moderato.llm.pii import learn, redact
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a predicted language, which becomes their ``lang``;
     those that are null or have no letter are rejected."""
-    told = predict_language(docs, learn_from(docs), lang_out="_told", score_out="_told_score")
-    return told.filter(F.col("_told") != UNDETERMINED).withColumn("lang", F.col("_told")).select(*docs.columns)
+    lang, score = unused(docs, "told"), unused(docs, "told_score")
+    told = predict_language(docs, learn_from(docs), lang_out=lang, score_out=score)
+    return told.filter(F.col(lang) != UNDETERMINED).withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
