@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moderato.llm.common import documents
-from moderato.llm.textbytes import blocks
+from moderato.llm.textbytes import blocks, few_rows
 
 DIM = 1024
 SEED = 20260
@@ -92,7 +92,7 @@ def _bundles(dim: int):
     """Per task and language: the bundle of all its texts' trigrams."""
     def run(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in few_rows(batches, 4096):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in _text_blocks(texts, 1 << 20):
                 row, grams = trigrams(texts[a:b])
@@ -134,7 +134,7 @@ def prototypes(labelled: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
 def _predict(dim: int, names: list[str], protos: np.ndarray, columns: list[str]):
     """The text is the last column; it gives way to the prediction."""
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             for a, b in _text_blocks(texts) if names else ():

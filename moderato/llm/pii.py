@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from moderato.llm.char_tagger import Tagger, encode
 from moderato.llm.common import documents, stage
 from moderato.llm.pii_rules import ANCHOR, KINDS, base_spans, plausible
+from moderato.llm.textbytes import few_rows
 
 WINDOW = 128
 STRIDE = 64
 SAMPLE = 1536         # windows that the tagger is fitted on, whatever the size of the table
 EPOCHS = 6
-DECODED = 512         # windows decoded at once
+DECODED = 192         # windows decoded at once
 
 
 def tags_of(spans: list[tuple[str, int, int]], start: int, size: int) -> np.ndarray:
@@ -66,7 +67,7 @@ def windows_of(text: str) -> list[int]:
 
 def _samples(batches):
     """Windows to learn from: text, tags and whether there is a span in it."""
-    for batch in batches:
+    for batch in few_rows(batches):
         keys, texts, tags, some = [], [], [], []
         for text in batch.column(0).to_pylist():
             spans = base_spans(text)
@@ -176,7 +177,7 @@ def tag(texts: list[str], tagger: Tagger | None) -> list[list[tuple[str, int, in
 
 def _find(tagger: Tagger | None):
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             spans = tag(texts, tagger)
             base = [base_spans(t) if s else [] for t, s in zip(texts, spans, strict=True)]
@@ -213,7 +214,7 @@ def redact(docs: DataFrame, tagger: Tagger | None, text_col: str = "text") -> Da
     place = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column(place).to_pylist()
             spans = tag([t or "" for t in texts], tagger)
             new = [t if not s else redacted(t, s) for t, s in zip(texts, spans, strict=True)]
