@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20   # text handled at once inside a task
+PIECE_BYTES = 1 << 19   # of a text, whose words are hashed at once
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +70,13 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """A mixed 64-bit hash of each byte range ``[start, end)``."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(data) > PIECE_BYTES and len(starts) > 1 and (starts[1:] >= ends[:-1]).all():
+        out, i = [], 0              # a long text's words, a piece of it at a time
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE_BYTES, "right")))
+            out.append(range_hashes(data[starts[i]:ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]))
+            i = j
+        return np.concatenate(out)
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])

@@ -91,3 +91,16 @@ def test_copyright_line_beside_a_licence():
     for text, label in notices.items():
         r = license_scan.scan((line + text).encode())
         assert label in r["labels"].split(",") and r["terms"] == "permissive"
+
+
+def test_words_of_long_texts_have_the_same_hashes():
+    from moderato.llm import textbytes as tb
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.integers(97, 100, rng.integers(1, 9)).astype(np.uint8)) for _ in range(300_000)]
+    data = np.frombuffer(b" ".join(words) + b" " + b"y" * 700_000 + b" abc", np.uint8)
+    starts, ends = tb.word_spans(tb._WORD[data], np.array([0, len(data)]))
+    got = tb.range_hashes(data, starts, ends)
+    assert len(got) == 300_002
+    for i in (0, 1, 150_000, 299_999, 300_000, 300_001):
+        w = data[starts[i]:ends[i]].copy()
+        assert got[i] == tb.range_hashes(w, np.array([0]), np.array([len(w)]))[0]
