@@ -38,10 +38,18 @@ def safe_unions(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: Spark's default of 10,000 rows holds tens of MB a task outside
+    the heap, on both sides.  A setting of one's own stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; set a local one only when unset
     (tests and local runs)."""
     safe_unions(spark)
+    small_batches(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
