@@ -1,9 +1,13 @@
 """Deterministic sharded WARC archives and their reader (operator 7).
 
-Writing.  Page ids are cut into ranges whose payloads make up about
-``shard_bytes``; the cuts follow from byte counts per id interval alone, so equal
-input gives equal files however Spark deals it out.  A task sorts its range by
-id and streams it into files that are closed once they hold ``roll_bytes``
+Writing.  Pages are put in order of id and payload digest, and their bytes are
+added up in that order: a page's shard is the sum before it over ``shard_bytes``
+(or over more, where the table would fill more than ``MAX_SHARDS``).  The sums are
+those of the whole table, so equal input gives equal files however Spark deals
+it out, and shards are even whatever the ids look like.  Only ids, sizes and digests are
+sorted for that; the first key of every shard, at most ``MAX_SHARDS`` of them, goes to
+all tasks, and each page finds its shard there by halving.  A shard
+is a task's, which sorts it and streams it into files that are closed once they hold ``roll_bytes``
 compressed.  Headers, record ids and digests are made anew from the rows;
 nothing depends on the clock.  A file is written under a temporary name and renamed
 when complete, so a task that is lost or run twice leaves either nothing or the
@@ -18,8 +22,9 @@ the pages are shuffled once.
 
 Null html is an empty payload, a null url the name ``urn:page:<id>``.  Rows that
 repeat an id are all written; among equal payloads each row with the largest id
-is a response.  A row with a null id is a response and sorts first.
-Other columns are ignored.  Reading checks every digest and length.
+is a response.  A row with a null id is a response and sorts first.  Rows with one id and
+one payload stay in one shard; those with one id and different payloads may be parted.
+Other columns are ignored.  Reading checks every digest and length, the manifest's included.
 """
 
 from __future__ import annotations
@@ -32,15 +37,17 @@ import zlib
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from moderato.llm.common import discard, stage
 from moderato.session import scratch_path
 
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 4 << 20
 REVISIT_BYTES = 1000
-INTERVALS_PER_SHARD = 8
+MAX_SHARDS = 1 << 16
+READ_BYTES = 32 << 20           # compressed, of a reading task
 DATE = "1970-01-01T00:00:00Z"       # the tables hold no capture time
 LEVEL = 6
 _SPACE = uuid.UUID("8f2a5f5e-55c1-4b7a-9d0e-6d5a3c1b7e42")
@@ -115,7 +122,7 @@ def _write(uri: str, roll_bytes: int):
         return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(types)], names=names)
 
     def run(batches):
-        files, at, marks = None, None, {}
+        files, at, mark = None, None, None
         for batch in batches:
             for shard, page_id, kind, digest, refers, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if files is None or files.shard != shard:
@@ -123,18 +130,46 @@ def _write(uri: str, roll_bytes: int):
                         files.close()
                         yield rows(files.done)
                     files = _Files(uri, shard, roll_bytes)
-                if at != (shard, page_id):
-                    at, marks = (shard, page_id), {}
-                if kind == 0:
-                    marks[digest] = refers
+                if at != (page_id, digest):
+                    at, mark = (page_id, digest), None
+                if kind == 0:       # sorts before the pages it is meant for
+                    mark = refers
                 else:
-                    files.add(page_id, record(page_id, url, (html or "").encode(), marks.get(digest)))
+                    files.add(page_id, record(page_id, url, (html or "").encode(), mark))
         if files is not None:
             files.close()
             yield rows(files.done)
     return run
 
 
+def _key() -> Column:
+    return F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"), "digest")
+
+
+def _first_keys(facts: DataFrame, shard_bytes: int) -> DataFrame:
+    """``key`` of the first row of every shard."""
+    ranged = stage(facts.select(_key().alias("key"), "size").repartitionByRange("key").withColumn("part", F.spark_partition_id()), "warc_sizes")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # one row a partition
+    starts = ranged.groupBy("part").agg(F.sum("size").alias("bytes")).select(
+        "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    shards = ranged.join(F.broadcast(starts), "part").select("key", F.floor(place / F.lit(shard_bytes)).cast("long").alias("shard"))
+    keys = stage(shards.groupBy("shard").agg(F.min("key").alias("key")).select("key").distinct(), "warc_cuts")
+    discard(ranged)
+    return keys
+
+
+def _with_shard(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
+    """``shard``: number of the last of the sorted ``keys`` that isn't above a row's key, found by halving."""
+    ordered = keys.agg(F.sort_array(F.collect_list("key"))).scalar()
+    out = rows.withColumn("shard", F.lit(0))
+    for bit in reversed(range(count.bit_length())):
+        ahead = F.col("shard") + (1 << bit)
+        out = out.withColumn("shard", F.when((ahead < count) & (F.get(ordered, ahead) <= _key()), ahead).otherwise(F.col("shard")))
+    return out
+
+
 def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Writes the archive below ``uri`` (a folder that all executors share) and
@@ -144,36 +179,29 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"))
     payload = F.coalesce(F.col("html"), F.lit(""))
-    facts = rows.select("id", F.octet_length(payload).alias("size"), F.sha1(payload).alias("digest"))
-    span = facts.agg(F.min("id"), F.max("id"), F.sum("size")).first()
-    low, high, total = span[0] or 0, span[1] or 0, span[2] or 0
-    intervals = INTERVALS_PER_SHARD * (total // shard_bytes + 1)
-    width = (high - low) // intervals + 1
-    interval = F.coalesce(F.floor((F.col("id") - low) / width), F.lit(0)).cast("long")
-    sizes = sorted(facts.groupBy(interval.alias("interval")).agg(F.sum("size").alias("size")).collect())
-    cuts, run = [], 0
-    for at, size in sizes:          # one row for each eighth of a shard at most
-        cuts.append((at, run // shard_bytes))
-        run += size
-    spark = pages.sparkSession
-    cuts_df = F.broadcast(spark.createDataFrame(cuts, "interval long, shard long"))
+    facts = stage(rows.select("id", F.octet_length(payload).cast("long").alias("size"), F.sha1(payload).alias("digest")), "warc_facts")
+    total = facts.agg(F.sum("size")).first()[0] or 0
+    keys = _first_keys(facts, max(shard_bytes, -(-total // MAX_SHARDS)))
+    count = keys.count()
     keep = (facts.filter(F.col("size") >= revisit_bytes).groupBy("digest")
             .agg(F.max("id").alias("refers"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "refers"))
     marks = facts.join(keep, "digest").filter("id <> refers").select(
         "id", F.lit(0).alias("kind"), "digest", "refers", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     bodies = rows.select("id", F.lit(1).alias("kind"), F.sha1(payload).alias("digest"), F.lit(None).cast("long").alias("refers"), "url", "html")
-    dealt = (marks.unionByName(bodies).withColumn("interval", interval).join(cuts_df, "interval")
-             .select("shard", "id", "kind", "digest", "refers", "url", "html")
-             .repartition(max(1, total // shard_bytes + 1), "shard").sortWithinPartitions("shard", "id", "kind", "digest", "url"))
+    dealt = (_with_shard(marks.unionByName(bodies), keys, count)
+             .select(F.col("shard").cast("long").alias("shard"), "id", "kind", "digest", "refers", "url", "html")
+             .repartitionById(max(1, count), F.col("shard").cast("int"))
+             .sortWithinPartitions("shard", "id", "digest", "kind", "url"))
     manifest = dealt.mapInArrow(_write(uri, roll_bytes), _MANIFEST)
     manifest.write.mode("overwrite").json(f"{uri}/manifest")
-    return spark.read.schema(_MANIFEST).json(f"{uri}/manifest")
+    return pages.sparkSession.read.schema(_MANIFEST).json(f"{uri}/manifest")
 
 
-def _members(stream):
-    """The gzip members of an open file, one at a time."""
+def _members(stream, sha):
+    """The gzip members of an open file, one at a time; ``sha`` takes in what is read."""
     z, got = zlib.decompressobj(31), []
     chunk = stream.read(1 << 18)
+    sha.update(chunk)
     while chunk:
         got.append(z.decompress(chunk))
         if z.eof:
@@ -182,6 +210,7 @@ def _members(stream):
             if chunk:
                 continue
         chunk = stream.read(1 << 18)
+        sha.update(chunk)
     if any(got):
         raise ValueError("the last record is cut off")
 
@@ -219,22 +248,29 @@ def _read(uri: str, with_payload: bool):
             for name, size, sha256 in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if fs.get_file_info(f"{base}/{name}").size != size:
                     raise ValueError(f"{name}: size differs from the manifest's")
-                rows, held = [], 0
+                rows, held, sha = [], 0, hashlib.sha256()
                 with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
-                    for member in _members(f):
+                    for member in _members(f, sha):
                         r = parse(member) | {"file": name}
                         held += len(r["payload"] or b"") if with_payload else 0
                         rows.append(r if with_payload else r | {"payload": None})
                         if len(rows) >= 2000 or held > 4 << 20:
                             yield batch(rows)
                             rows, held = [], 0
+                if sha.hexdigest() != sha256:
+                    raise ValueError(f"{name}: content differs from the manifest's digest")
                 yield batch(rows)
     return run
 
 
 def read_warc(manifest: DataFrame, uri: str, with_payload: bool = True) -> DataFrame:
-    """The records of the manifest's files; a task reads whole files, a record at a time."""
-    files = manifest.select("file", "compressed_bytes", "sha256").repartition("file")
+    """The records of the manifest's files; a task reads whole files, a record at a time.  Files, of about one
+    size, are dealt in turn to as many tasks as their bytes ask for, to all cores at least."""
+    n, size, rolls = manifest.agg(F.count(F.lit(1)), F.sum("compressed_bytes"), F.max("roll")).first()
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(n, max(cores, -(-(size or 0) // READ_BYTES))))
+    turn = F.pmod(F.col("shard") * ((rolls or 0) + 1) + F.col("roll"), F.lit(tasks)).cast("int")
+    files = manifest.repartitionById(tasks, turn).select("file", "compressed_bytes", "sha256")
     return files.mapInArrow(_read(uri, with_payload), _RECORD)
 
 
