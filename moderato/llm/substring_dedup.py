@@ -6,15 +6,18 @@ alone.  A chunk ends where the top bits are 0, after ``MIN_CHUNK`` bytes at
 least and ``MAX_CHUNK`` at most; an insertion thus moves the cuts around it and no
 others.  Chunks are compared by 128-bit digest across documents:  a
 chunk is a repeat if a document with a smaller id holds it too.  Adjacent repeats
-form a span; spans of at least ``MIN_SPAN`` bytes (two chunks or three, so that a common phrase
-alone takes nothing away) are removed.
-
-Digests are grouped with partial sums, and their join can split a hot digest, so a
-passage in a third of all documents is no special case.  The chunks of a document
+form a span.  Spans of at least ``MIN_SPAN`` bytes are removed (several chunks, so that a
+common phrase alone takes nothing away), and so are spans that are a document's
+whole text, however short.
+
+Texts are chunked twice and never moved.  First, digests are grouped with partial sums to
+those that several documents hold; then only the chunks that pass a bitmap of these
+digests are joined with them.  The join can split a hot digest, so a
+passage in a third of all documents is no special case.  The repeats of a document
 are joined to spans by a window over that document.
 
-Null texts are empty.  Rows that repeat an id are one document (its chunks are
-never repeats of each other) and get the same row each; rows without an id have nothing removed.
+Null texts are empty.  Rows that repeat an id are one document with one row, and the smallest of its
+texts stands for them; rows without an id all stay and have nothing removed.
 """
 
 from __future__ import annotations
@@ -28,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moderato.llm.common import documents, stage
+from moderato.llm.common import documents, one_text_per_id, sieve, stage
 from moderato.llm.textbytes import mix, utf8
 
-CUT_BITS = 4
-MIN_CHUNK = 24
-MAX_CHUNK = 192
+CUT_BITS = 3
+MIN_CHUNK = 12
+MAX_CHUNK = 96
 MIN_SPAN = 96
 PIECE = 1 << 20         # bytes of a text hashed at once
+ROWS = 64               # texts taken at once
 
 
 @functools.cache
@@ -70,39 +74,52 @@ def cuts(data: np.ndarray, bits: int = CUT_BITS, least: int = MIN_CHUNK, most: i
 
 
 def _chunk(batches):
-    for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        ids, digests, starts, sizes, at = batch.column(0), [], [], [], []
-        for i, (a, b) in enumerate(zip(offsets.tolist(), offsets.tolist()[1:], strict=False)):
-            text, start = data[a:b], 0
-            raw = text.tobytes()
-            for end in cuts(text):
-                digests.append(hashlib.blake2b(raw[start:end], digest_size=16).digest())
-                starts.append(start)
-                sizes.append(end - start)
-                at.append(i)
-                start = end
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(digests, pa.binary()), pa.array(starts, pa.int64()),
-                                          pa.array(sizes, pa.int32())], names=["id", "digest", "start", "size"])
+    for whole in batches:
+        for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+            data, offsets = utf8(batch.column(1))
+            ids, digests, starts, sizes, last, at = batch.column(0), [], [], [], [], []
+            for i, (a, b) in enumerate(zip(offsets.tolist(), offsets.tolist()[1:], strict=False)):
+                text, start = data[a:b], 0
+                raw = text.tobytes()
+                ends = cuts(text)
+                for end in ends:
+                    digests.append(hashlib.blake2b(raw[start:end], digest_size=16).digest())
+                    starts.append(start)
+                    sizes.append(end - start)
+                    start = end
+                at += [i] * len(ends)
+                last += [False] * (len(ends) - 1) + [True] * bool(ends)
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(at, pa.int64())), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(starts, pa.int64()),
+                 pa.array(sizes, pa.int32()), pa.array(last, pa.bool_())], names=["id", "hi", "lo", "start", "size", "last"])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return one_text_per_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, digest, start, size`` of every chunk; bytes count from 0."""
-    ins = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
-    return ins.mapInArrow(_chunk, "id long, digest binary, start long, size int")
+    """``id, hi, lo, start, size, last`` of every chunk: the halves of its digest, its bytes counted from 0,
+    and whether the text ends with it."""
+    return _texts(docs, id_col, text_col).filter("id IS NOT NULL").mapInArrow(
+        _chunk, "id long, hi long, lo long, start long, size int, last boolean")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
     """``id, start, end`` of every span of repeated chunks."""
-    made = stage(chunks(docs, id_col, text_col), "chunks")
-    first = made.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("digest", "first")
-    repeats = made.join(first, "digest").filter("id > first").select("id", "start", (F.col("start") + F.col("size")).alias("end")).distinct()
+    made = chunks(docs, id_col, text_col)
+    first = stage(made.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.max("id").alias("latest"))
+                  .filter("first < latest").select("hi", "lo", "first"), "repeats")
+    repeats = sieve(made, "hi", first).join(first, ["hi", "lo"]).filter("id > first").select(
+        "id", "start", (F.col("start") + F.col("size")).alias("end"), "last")
     order = Window.partitionBy("id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = repeats.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
     runs = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return spans.filter(F.col("end") - F.col("start") >= min_span).select("id", "start", "end")
+    spans = runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("last").alias("last"))
+    whole = (F.col("start") == 0) & F.col("last")
+    return spans.filter((F.col("end") - F.col("start") >= min_span) | whole).select("id", "start", "end")
 
 
 def _cut_out(batches):
@@ -121,8 +138,7 @@ def _cut_out(batches):
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, kept``: the bytes of each text that lie in no span."""
     lists = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(lists, "id", "left").select("id", "text", "spans").mapInArrow(_cut_out, "id long, kept binary")
+    return _texts(docs, id_col, text_col).join(lists, "id", "left").select("id", "text", "spans").mapInArrow(_cut_out, "id long, kept binary")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +148,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_doc = repeated_spans(docs).groupBy("id").agg(
         F.sum(F.col("end") - F.col("start")).alias("n_removed"), F.count(F.lit(1)).alias("n_spans"),
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    sizes = _texts(docs, "doc_id", "text").select("id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     line = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return sizes.join(by_doc, "id", "left").select(
         F.col("id").alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
