@@ -749,7 +749,8 @@ def q_moderate_stream(spark, sf_dir):
     """Documents read as a file stream, moderated by the batch function,
     drained with availableNow; equals ``moderate_auto``."""
     from moderato.streaming import moderate_stream as ms
-    stream = ms.read_stream(spark, sf_dir, glob="documents.parquet")
+    # The braces let the table be one file or a folder of files.
+    stream = ms.read_stream(spark, f"{sf_dir}/{{documents.parquet}}")
     # The fixture stream is one file (one task per micro-batch); spread it
     # over the cores.  A partitioned source (e.g. Kafka) would not need this.
     stream = stream.select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
